@@ -5,10 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import bpe, packing
+from docloom.llm import bpe, packing, vectors
 from docloom.runtime import table
 
 
+def _vector_tables(spark: SparkSession, d: str) -> dict:
+    return {"chunks_vectors": (table(spark, d, "chunks_vectors"), "chunk_id"), "findings_vectors": (table(spark, d, "findings_vectors"), "finding_id")}
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return vectors.found(_vector_tables(spark, d))
+
+
+def p1_nearest(spark: SparkSession, d: str) -> DataFrame:
+    """The 5 nearest of any cosine, for the query set of one row in 50 (by a hash of the key) against all rows."""
+    out = None
+    for name, (df, key) in _vector_tables(spark, d).items():
+        base = vectors.usable(df, key)
+        near = vectors.nearest(base, base.where("pmod(xxhash64(id), 50) = 0"))
+        near = near.select(F.lit(name).alias("tbl"), F.col("id_a").alias("key"), F.col("id_b").alias("neighbour"), F.round("cos", 6).alias("cos"), "rank")
+        out = near if out is None else out.unionByName(near)
+    return out
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode_column(table(spark, d, "documents"))
 
@@ -27,5 +46,5 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (p6_ids, p7_containers, p7_fill)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_nearest, p6_ids, p7_containers, p7_fill)}
 ORACLES: dict[str, str] = {}
