@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import bpe, packing, vectors
+from docloom.llm import bpe, lookalike, packing, vectors
 from docloom.runtime import table
 
 
@@ -28,6 +28,19 @@ def p1_nearest(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return lookalike.found(table(spark, d, "chunks"), table(spark, d, "findings"), table(spark, d, "item_ref"))
+
+
+def p3_forms(spark: SparkSession, d: str) -> DataFrame:
+    """The one form of every chunk text and finding item."""
+    chunks, findings, ref = (table(spark, d, t) for t in ("chunks", "findings", "item_ref"))
+    counts = lookalike.code_points([(chunks, "text"), (findings, "item"), (ref, "item")])
+    a = lookalike.one_form(chunks, "text", counts, ["chunk_id"]).select(F.lit("chunks").alias("tbl"), F.col("chunk_id").alias("row_key"), "form")
+    b = lookalike.one_form(findings, "item", counts, ["finding_id"]).select(F.lit("findings").alias("tbl"), F.col("finding_id").alias("row_key"), "form")
+    return a.unionByName(b).distinct()
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode_column(table(spark, d, "documents"))
 
@@ -46,5 +59,5 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_nearest, p6_ids, p7_containers, p7_fill)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_nearest, p3_found, p3_forms, p6_ids, p7_containers, p7_fill)}
 ORACLES: dict[str, str] = {}
