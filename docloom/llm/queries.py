@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import bpe, lookalike, packing, vectors
+from docloom.llm import bpe, lookalike, packing, splitting, vectors
 from docloom.runtime import table
 
 
@@ -41,6 +41,14 @@ def p3_forms(spark: SparkSession, d: str) -> DataFrame:
     return a.unionByName(b).distinct()
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return p5_pieces(spark, d).where("piece_no = 1").select("tbl", "row_key", "span_no")
+
+
+def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return splitting.split_all(table(spark, d, "chunks"), table(spark, d, "findings"))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode_column(table(spark, d, "documents"))
 
@@ -59,5 +67,5 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_nearest, p3_found, p3_forms, p6_ids, p7_containers, p7_fill)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_nearest, p3_found, p3_forms, p5_found, p5_pieces, p6_ids, p7_containers, p7_fill)}
 ORACLES: dict[str, str] = {}
