@@ -126,7 +126,7 @@ def _sketch(x: np.ndarray, seed: int) -> np.ndarray:
     return np.packbits(x @ _planes(x.shape[1], seed) > 0, axis=1).view("<i8")
 
 
-def functions_for(n: int, bucket: int = 600) -> int:
+def functions_for(n: int, bucket: int = 250) -> int:
     """Functions a table needs so that about ``bucket`` of ``n`` spread-out vectors share a bucket."""
     return int(min(24, max(2, round(math.log2(max(n, 2) / bucket) / BITS)))) if n > bucket else 2
 
@@ -170,7 +170,7 @@ def _top(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray, k: int, l
     return np.concatenate(a or [nx[:0]]), np.concatenate(b or [nx[:0]])
 
 
-def near_pairs(base: DataFrame, k: int = 5, min_cos: float = 0.92, dim: int = 64, tables: int = 3, probes: int = 6, bucket: int = 600, hot: int = 60_000, copies: int = 128, seed: int = 7) -> DataFrame:
+def near_pairs(base: DataFrame, k: int = 5, min_cos: float = 0.92, dim: int = 64, tables: int = 3, probes: int = 6, bucket: int = 250, hot: int = 60_000, copies: int = 128, seed: int = 7) -> DataFrame:
     """``id_a``, ``id_b``, ``cos``, ``rank``: for every row of :func:`usable` its ``k`` nearest of cosine ``min_cos`` or more.
 
     Equal cosines are ranked by id. Of more than ``copies`` rows with exactly equal vectors one stands for
@@ -236,22 +236,52 @@ def near_pairs(base: DataFrame, k: int = 5, min_cos: float = 0.92, dim: int = 64
 
     limits = _limits(min_cos)
 
-    def compare(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.drop_duplicates("nid")
-        nid = f["nid"].to_numpy()
-        if f["cell"].iat[0] < 0:
-            a, b = _meet(nid, f[["s0", "s1"]].to_numpy(), limits)
-        else:
-            x, part = _floats(f["vec"].tolist(), dim), f["s0"].to_numpy()
-            u = part == part.min()
-            v = ~u if (~u).any() else u
-            got = [_top(x[u], x[v], nid[u], nid[v], k, min_cos - 1e-5)] + ([_top(x[v], x[u], nid[v], nid[u], k, min_cos - 1e-5)] if (~u).any() else [])
-            a, b = np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
-            a, b = np.minimum(a, b), np.maximum(a, b)
-        return pd.DataFrame({"a": a, "b": b})
+    def compare(cell: int, nid: np.ndarray, s: np.ndarray, vec: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        nid, first = np.unique(nid, return_index=True)
+        if cell < 0:
+            return _meet(nid, s[first], limits)
+        x, part = _floats(vec.take(pa.array(first)), dim), s[first, 0]
+        u = part == part.min()
+        got = [_top(x[u], x[u if u.all() else ~u], nid[u], nid[u if u.all() else ~u], k, min_cos - 1e-5)]
+        if not u.all():
+            got.append(_top(x[~u], x[u], nid[~u], nid[u], k, min_cos - 1e-5))
+        a, b = np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
+        return np.minimum(a, b), np.maximum(a, b)
+
+    def groups(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Compares each run of rows with one bucket and cell; the rows come sorted by these."""
+        held: list[pa.RecordBatch] = []
+
+        def flush(t: pa.Table) -> pa.RecordBatch:
+            bucket, cell, nid = (t.column(i).to_numpy() for i in range(3))
+            s = np.stack([t.column(3).to_numpy(), t.column(4).to_numpy()], 1)
+            vec = t.column(5).combine_chunks() if t.num_rows else None
+            edge = np.concatenate([[0], np.flatnonzero((np.diff(bucket) != 0) | (np.diff(cell) != 0)) + 1, [t.num_rows]])
+            out = [compare(int(cell[i]), nid[i:j], s[i:j], vec.slice(i, j - i)) for i, j in zip(edge[:-1].tolist(), edge[1:].tolist()) if j - i > 1]
+            a, b = (np.concatenate([o[n] for o in out]) if out else np.empty(0, np.int64) for n in (0, 1))
+            both = np.unique(np.stack([a, b], 1), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, cell = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            new = np.flatnonzero((key != key[-1]) | (cell != cell[-1]))
+            cut = int(new[-1]) + 1 if len(new) else 0  # the last run may go on in the next batch
+            if not cut and held:
+                last = held[-1]
+                if last.column(0)[-1].as_py() != key[0] or last.column(1)[-1].as_py() != cell[0]:
+                    yield flush(pa.Table.from_batches(held))
+                    held = []
+            if cut:
+                yield flush(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+                held = []
+            held.append(batch.slice(cut))
+        if held:
+            yield flush(pa.Table.from_batches(held))
 
     sent = work.select("nid", "vec").mapInArrow(emit, "bucket long, cell int, nid long, s0 long, s1 long, vec binary")
-    pairs = sent.groupBy("bucket", "cell").applyInPandas(compare, "a long, b long")
+    pairs = sent.repartition("bucket", "cell").sortWithinPartitions("bucket", "cell").mapInArrow(groups, "a long, b long")
     if extra is not None:
         pairs = pairs.unionByName(extra)
     pairs = materialize(pairs.distinct(), "candidates")
