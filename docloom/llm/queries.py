@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import bpe, lookalike, packing, splitting, vectors
+from docloom.llm import bpe, langid, lookalike, packing, splitting, vectors
 from docloom.runtime import table
 
 
@@ -67,5 +67,20 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_nearest, p3_found, p3_forms, p5_found, p5_pieces, p6_ids, p7_containers, p7_fill)}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return langid.wrong_labels(table(spark, d, "documents"), table(spark, d, "lang_codes"))
+
+
+def p8_segments(spark: SparkSession, d: str) -> DataFrame:
+    """Every stretch of one language in every document, with a confidence."""
+    docs = table(spark, d, "documents")
+    return langid.label_segments(docs, langid.fit_on(docs, table(spark, d, "lang_codes")))
+
+
+def p8_languages(spark: SparkSession, d: str) -> DataFrame:
+    """The languages of every document, with confidence and share of the text."""
+    return langid.document_languages(p8_segments(spark, d))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_nearest, p3_found, p3_forms, p5_found, p5_pieces, p6_ids, p7_containers, p7_fill, p8_found, p8_segments, p8_languages)}
 ORACLES: dict[str, str] = {}
