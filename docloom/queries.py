@@ -2,5 +2,33 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+
+from docloom.operators import packed
+from docloom.runtime import table
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(f=None, *, sql: str | None = None):
+    """Register a query, with the SQL that must give the same rows where there is one."""
+
+    def add(g):
+        QUERIES[g.__name__] = g
+        if sql:
+            ORACLES[g.__name__] = sql
+        return g
+
+    return add(f) if f else add
+
+
+@query
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return p2_values(spark, d).where("packed").select("tbl", "row_key", "pos", "val")
+
+
+@query
+def p2_values(spark: SparkSession, d: str) -> DataFrame:
+    """Every value of every field, whether packed or alone."""
+    return packed.reasons(table(spark, d, "table_rows"), table(spark, d, "findings"))
