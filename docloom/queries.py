@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.operators import packed
+from docloom.operators import orphans, packed
 from docloom.runtime import table
 
 QUERIES: dict = {}
@@ -32,3 +32,41 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 def p2_values(spark: SparkSession, d: str) -> DataFrame:
     """Every value of every field, whether packed or alone."""
     return packed.reasons(table(spark, d, "table_rows"), table(spark, d, "findings"))
+
+
+_REPORT_TABLES = ("chunks", "law_references", "table_rows", "findings", "reports")
+
+_P4 = """
+with k as (
+  select 'chunks' tbl, chunk_id row_key, 'findings' parent, finding_id ref, created_at t from chunks
+  union all select 'law_references', law_id, 'findings', finding_id, created_at from law_references
+  union all select 'table_rows', row_id, 'reports', doc_id, ingested_at from table_rows
+  union all select 'findings', finding_id, 'reports', doc_id, ingested_at from findings),
+r as (
+  select tbl, row_key, arg_max(parent, t) parent, min(t) t,
+    lower(trim(coalesce(arg_max(coalesce(ref, ''), t), ''), ' ' || chr(9) || chr(10) || chr(13))) ref
+  from k where row_key is not null group by 1, 2),
+q as (
+  select 'findings' parent, lower(trim(finding_id, ' ' || chr(9) || chr(10) || chr(13))) ref, ingested_at t, deleted_at d from findings
+  union all select 'reports', lower(trim(doc_id, ' ' || chr(9) || chr(10) || chr(13))), ingested_at, deleted_at from reports),
+p as (
+  select parent, ref, min(t) t, arg_max(case when d is null then 0 else 1 end, t) gone from q where ref <> '' group by 1, 2),
+o as (
+  select r.tbl, r.row_key, strftime(r.t, '%Y-%m') ym,
+    case when p.ref is null then 'missing' when gone = 1 then 'deleted' when p.t > r.t then 'late' end kind
+  from r left join p on r.parent = p.parent and r.ref = p.ref where r.ref <> '')
+"""
+
+
+def _orphan_state(spark: SparkSession, d: str):
+    return orphans.report_references(*(table(spark, d, t) for t in _REPORT_TABLES))
+
+
+@query(sql=_P4 + "select tbl, row_key, ym, kind from o where kind is not null")
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return orphans.orphans(_orphan_state(spark, d))
+
+
+@query(sql=_P4 + "select tbl, ym, kind, count(*) n from o where kind is not null group by 1, 2, 3")
+def p4_counts(spark: SparkSession, d: str) -> DataFrame:
+    return orphans.counts(_orphan_state(spark, d))
