@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docloom import schemas
 from docloom.functions import text as tx
@@ -45,19 +46,34 @@ def overlap_groups(counts: Sequence[int], least: int = LEAST, most: int = MOST,
     return out
 
 
-@F.pandas_udf("array<string>")
-def overlap_chunks(segments: pd.Series) -> pd.Series:
-    """Array of segments to array of chunks, joined by blank lines; null gives an empty array."""
+def join_segments(segments: Sequence[str] | None) -> list[str]:
+    """Chunks of an array of segments, joined by blank lines; null gives none."""
+    segs = [s for s in segments if s] if segments is not None else []
+    return ["\n\n".join(segs[a:b]) for a, b in overlap_groups([len(s.split()) for s in segs])]
 
-    def one(segs) -> list[str]:
-        segs = [s for s in segs if s] if segs is not None else []
-        return ["\n\n".join(segs[a:b]) for a, b in overlap_groups([len(s.split()) for s in segs])]
 
-    return segments.map(one)
+def with_chunks(df: DataFrame, segments: str, name: str = "chunks") -> DataFrame:
+    """``df`` with the array of chunks of its array of segments in its place; runs in Arrow batches."""
+    keep = [c for c in df.columns if c != segments]
+    src = df.select(*keep, segments)
+    schema = T.StructType([src.schema[c] for c in keep] + [T.StructField(name, T.ArrayType(T.StringType()))])
 
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = pa.array([join_segments(s) for s in b.column(len(keep)).to_pylist()], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], got], names=[*keep, name])
 
-def section_chunks(text: Column | str, separator: str = "\n\n") -> Column:
-    return overlap_chunks(tx.fixed_segments(tx.paragraphs(text, separator)))
+    return src.mapInArrow(run, schema)
+
+
+def segments_of(text: Column | str, separator: str = "\n\n") -> Column:
+    return tx.fixed_segments(tx.paragraphs(text, separator), MOST)
+
+
+def chunk_texts(df: DataFrame, key: str, text: str, separator: str = "\n\n") -> DataFrame:
+    """``key``, ``chunk_order``, ``text``: the chunks of each text. Null and blank texts give no row."""
+    got = with_chunks(df.where(F.col(key).isNotNull()).select(key, segments_of(text, separator).alias("segments")), "segments")
+    return got.select(key, F.posexplode("chunks").alias("chunk_order", "text"))
 
 
 def chunk_findings(findings: DataFrame, docs: DataFrame, created_at: Column | None = None) -> DataFrame:
@@ -74,9 +90,9 @@ def chunk_findings(findings: DataFrame, docs: DataFrame, created_at: Column | No
     kind = "array<struct<name:string,start_line:int,end_line:int,t:string>>"
     parts = F.when(some, spans.cast(kind)).when(usable, F.array(whole).cast(kind)).otherwise(F.array().cast(kind))
     rows = base.select("finding_id", "doc_id", "code", "item", F.posexplode(parts).alias("section_order", "s"))
-    rows = rows.withColumn("chunks", section_chunks("s.t"))
+    rows = with_chunks(rows.select("finding_id", "doc_id", "code", "item", "section_order", F.col("s.name").alias("name"), F.col("s.start_line").alias("a"), F.col("s.end_line").alias("b"), segments_of("s.t").alias("segments")), "segments")
     rows = rows.select("*", F.posexplode("chunks").alias("chunk_order", "text")).where(tx.strip("text") != "")
-    section = F.col("s.name")
+    section = F.col("name")
     meta = F.format_string("[META] doc:%s | finding:%s | code:%s | section:%s", "doc_id", "finding_id", F.coalesce("code", F.lit("")), section)
     return rows.select(
         F.format_string("%s@%02d-%02d", "finding_id", "section_order", "chunk_order").alias("chunk_id"),
@@ -89,8 +105,8 @@ def chunk_findings(findings: DataFrame, docs: DataFrame, created_at: Column | No
         "item",
         tx.bare_item("item").alias("item_norm"),
         F.lit(None).cast("int").alias("page"),
-        F.col("s.start_line").alias("start_line"),
-        F.col("s.end_line").alias("end_line"),
+        F.col("a").alias("start_line"),
+        F.col("b").alias("end_line"),
         "text",
         tx.plain_text("text").alias("text_norm"),
         F.col("text").alias("text_raw"),

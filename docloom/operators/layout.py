@@ -8,6 +8,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docloom.functions import geometry as g
 from docloom.functions import text as tx
@@ -232,7 +233,7 @@ def markdown_table(text: str | None, doc_id: str | None = None) -> str:
     return _grid(rows[0], rows[1:], _anchors(rows[0], rows[1:], doc_id))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def as_markdown_table(text: pd.Series, doc_id: pd.Series) -> pd.Series:
     return pd.Series([markdown_table(t if isinstance(t, str) else None, d if isinstance(d, str) else None) for t, d in zip(text, doc_id)])
 
