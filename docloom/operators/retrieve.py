@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import vector as vx
 from docloom.operators import index as ix
+from docloom.runtime import materialize
 
 
 def top(df: DataFrame, k: int, score: str = "score", key: str = "id") -> DataFrame:
@@ -143,7 +144,8 @@ def retrieve_findings(findings: DataFrame, query_terms: Sequence[str], e: Expans
     words = [w for w in e.must if w][:used]
     if not words:
         return top(ix.bm25(rows, "finding_id", query_terms, {"item": 2.0, "reasons": 1.0, "item_detail": 1.0}), min(n, text_k))
-    docs = document_set(keyword_documents(rows, words, "finding_id", "doc_id", {"item": 2.0, "reasons": 1.5, "item_detail": 1.0}, hits), len(words), cap)
+    # at most used x hits rows, and used twice by what follows
+    docs = materialize(document_set(keyword_documents(rows, words, "finding_id", "doc_id", {"item": 2.0, "reasons": 1.5, "item_detail": 1.0}, hits), len(words), cap), "document-set")
     kept = rows.join(F.broadcast(docs), "doc_id", "left_semi")  # at most used x hits documents
     each = ix.bm25(kept, "finding_id", e.words(), FINDING_FIELDS, each_term=True)
     boost = F.create_map(*[F.lit(x) for w in e.words() for x in (w.lower(), float(e.boost(w)))])

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from docloom import schemas
 from docloom.functions import text as tx
 from docloom.operators import chunk, link, meta, parse, rank, retrieve, store
+from docloom.runtime import materialize
 from docloom.sources import files
 
 
@@ -90,16 +91,22 @@ def embed(df: DataFrame, key: str, text: Column, load: Callable[[], Embed], know
 
 
 def answer_context(findings: DataFrame, chunks: DataFrame, terms: Sequence[str], e: retrieve.Expansion, sections: Mapping[str, Sequence[str]], finding_vectors: DataFrame | None = None, chunk_vectors: DataFrame | None = None, query: Sequence[float] | None = None, budget: int = 4000) -> DataFrame:
-    """The packed context of a question, a row a piece, in one plan: findings, their chunks by section, blocks, context."""
-    hits = retrieve.retrieve_findings(findings, terms, e, finding_vectors, query)
+    """The packed context of a question, a row a piece: findings, their chunks by section, blocks, context.
+
+    Hits, chunks of hits and blocks are bounded by the cuts of the search; they are written out in between, so that
+    the plans stay small and nothing is searched twice.
+    """
+    hits = materialize(retrieve.retrieve_findings(findings, terms, e, finding_vectors, query), "hits")
     ids = hits.select(F.col("id").alias("finding_id"))
     got = retrieve.retrieve_sections(chunks, ids, sections, chunk_vectors, query)
-    full = got.withColumnRenamed("id", "chunk_id").join(chunks.drop("section").dropDuplicates(["chunk_id"]), "chunk_id")
+    got = materialize(got.withColumnRenamed("id", "chunk_id"), "section-hits")
+    mine = chunks.drop("section").join(F.broadcast(got.select("chunk_id")), "chunk_id", "left_semi")  # at most n hits a section
+    full = materialize(got.join(mine.dropDuplicates(["chunk_id"]), "chunk_id"), "hit-chunks")
     names = list(sections)
     per = [rank.block_scores(full.where(F.col("section") == s)) for s in names]
     blocks = rank.join_sections(per[0], per[1]) if len(per) > 1 else per[0]
     docs = full.select("finding_id", "doc_id").distinct()
-    best = rank.accept(blocks.join(docs, "finding_id")).where("accepted").select("finding_id", F.col("rank").alias("block_rank"))
+    best = materialize(rank.accept(blocks.join(docs, "finding_id")).where("accepted").select("finding_id", F.col("rank").alias("block_rank")), "blocks")
     pieces = rank.merge_adjacent(rank.first_chunks(full.join(F.broadcast(best), "finding_id", "left_semi"))).join(F.broadcast(best), "finding_id")
     pieces = pieces.withColumns({"q": F.lit(0), "place": rank.section_place("section")})
     return rank.pack_context(pieces, "q", "finding_id", ["block_rank", "place", "first_order", "section"], budget)
