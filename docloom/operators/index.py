@@ -7,13 +7,16 @@ the postings of the query's terms.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import text as tx
+from docloom.operators import link
+from docloom.runtime import materialize
 
 K1, B = 1.2, 0.75
 
@@ -74,26 +77,34 @@ def bm25(df: DataFrame, key: str, terms: Sequence[str], boosts: Mapping[str, flo
     """BM25 of ``terms`` in the fields of ``boosts``.
 
     Returns ``id`` and ``score``, the best boosted field score of each row with a term (``each_term``: also ``term``, one row a
-    matching term). No terms give no rows; null fields have no tokens.
+    matching term). No terms give no rows; null fields have no tokens. The texts are read once: the pass that
+    writes out the rows with a term observes the statistics of all rows on its way.
     """
     terms = list(dict.fromkeys(t for q in terms for t in [q.lower()] if t))
     fields = list(boosts)
-    toks = df.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), *[F.transform(tx.tokens(f), F.lower).alias(f"t{i}") for i, f in enumerate(fields)])
-    count = lambda i, t: F.size(F.filter(f"t{i}", lambda x: x == t))
+    kind = df.schema[key].dataType.simpleString()
+    if not terms or not fields:
+        return df.sparkSession.createDataFrame([], f"id {kind}, {'term string, ' if each_term else ''}score double")
+    toks = df.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), *[_lowered(f).alias(f"t{i}") for i, f in enumerate(fields)])
+    count = lambda i, t: F.size(f"t{i}") - F.size(F.array_remove(F.col(f"t{i}"), t))
+    names = [f"tf{i}_{j}" for i in range(len(fields)) for j in range(len(terms))]
     tf = toks.select("id", *[F.size(f"t{i}").alias(f"dl{i}") for i in range(len(fields))], *[count(i, t).alias(f"tf{i}_{j}") for i in range(len(fields)) for j, t in enumerate(terms)])
-    if not terms:
-        return df.select(F.col(key).alias("id"), *([F.lit("").alias("term")] if each_term else []), F.lit(0.0).alias("score")).limit(0)
-    stats = tf.agg(
+    seen = Observation()
+    watched = tf.observe(
+        seen,
         *[F.count_if(F.col(f"dl{i}") > 0).alias(f"n{i}") for i in range(len(fields))],
-        *[F.avg(F.when(F.col(f"dl{i}") > 0, F.col(f"dl{i}"))).alias(f"avg{i}") for i in range(len(fields))],
-        *[F.count_if(F.col(f"tf{i}_{j}") > 0).alias(f"df{i}_{j}") for i in range(len(fields)) for j in range(len(terms))],
+        *[F.sum(F.col(f"dl{i}").cast("long")).alias(f"len{i}") for i in range(len(fields))],
+        *[F.count_if(F.col(n) > 0).alias(f"df{n[2:]}") for n in names],
     )
-    some = reduce(lambda a, b: a | b, [F.col(f"tf{i}_{j}") > 0 for i in range(len(fields)) for j in range(len(terms))])
-    hit = tf.where(some).crossJoin(F.broadcast(stats))  # one row of statistics
+    hit = materialize(watched.where(reduce(lambda a, b: a | b, [F.col(n) > 0 for n in names])), "bm25")
+    got = seen.get
 
     def score(i: int, j: int) -> Column:
-        t = F.col(f"tf{i}_{j}")
-        return F.when(t > 0, _idf(F.col(f"n{i}"), F.col(f"df{i}_{j}")) * _saturation(t, F.col(f"dl{i}"), F.col(f"avg{i}"))).otherwise(0.0)
+        n, t = got[f"n{i}"] or 0, F.col(f"tf{i}_{j}")
+        if not n:
+            return F.lit(0.0)
+        idf = math.log(1 + (n - got[f"df{i}_{j}"] + 0.5) / (got[f"df{i}_{j}"] + 0.5))
+        return F.when(t > 0, F.lit(idf) * _saturation(t, F.col(f"dl{i}"), F.lit(got[f"len{i}"] / n))).otherwise(0.0)
 
     def best(js: Sequence[int]) -> Column:
         per = [reduce(lambda a, b: a + b, [score(i, j) for j in js]) * F.lit(float(boosts[f])) for i, f in enumerate(fields)]
@@ -105,12 +116,14 @@ def bm25(df: DataFrame, key: str, terms: Sequence[str], boosts: Mapping[str, flo
     return hit.select("id", F.explode(each).alias("x")).select("id", "x.term", "x.score").where("score > 0")
 
 
-def finding_documents(findings: DataFrame, reports: DataFrame, links: DataFrame, rows: DataFrame, chunks: DataFrame) -> DataFrame:
-    """One denormalised document for each finding: title, order in its report, row ids and their codes, chunk count."""
-    from pyspark.sql import Window
+def _lowered(c: Column | str) -> Column:
+    """Lower-case tokens by functions that compile: joined, lowered and split again."""
+    t = tx.tokens(c)
+    return F.when(F.size(t) > 0, F.split(F.lower(F.array_join(t, " ")), " ")).otherwise(F.array().cast("array<string>"))
 
-    from docloom.operators import link
 
+def finding_documents(findings: DataFrame, reports: DataFrame, links: DataFrame, rows: DataFrame, chunks: DataFrame) -> DataFrame:
+    """One denormalised document for each finding: title, order in its report, row ids and their codes, chunk count."""
     one = findings.where("finding_id is not null").groupBy("finding_id").agg(F.max(F.struct("ingested_at", *[c for c in findings.columns if c not in ("finding_id", "ingested_at")])).alias("s")).select("finding_id", "s.*") if "ingested_at" in findings.columns else findings
     titled = link.with_title(one, reports)
     folded = link.fold_links(one, links)
