@@ -142,13 +142,20 @@ class Rewriter:
             return n, -len(s), [-ord(x) for x in s]
 
         self.to: dict[str, str] = {}
-        for g in relations(seen).groups():
+        classes = relations(seen)
+        for g in classes.groups():
             if "" in g:
                 best = ""
             else:
                 settled = [x for x in g if looks(x) == x] if any(len(x) > 1 for x in g) else g
                 best = max(settled or g, key=frequency)
             self.to |= {x: best for x in g if x != best and x}
+        # a letter whose base is written with another member of its class composes all the same
+        for x in list(classes.up):
+            if len(x) == 1 and len(nfd := unicodedata.normalize("NFD", x)) > 1:
+                written = "".join(self.to.get(c, c) for c in nfd)
+                if written != self.to.get(x, x):
+                    self.to.setdefault(written, self.to.get(x, x))
         self.auto = ahocorasick.Automaton()
         for x, y in self.to.items():
             self.auto.add_word(x, (len(x), y))
