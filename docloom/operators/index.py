@@ -11,11 +11,11 @@ import math
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from docloom.functions import text as tx
-from docloom.operators import link
+from docloom.operators import link, ordered
 from docloom.runtime import materialize
 
 K1, B = 1.2, 0.75
@@ -129,8 +129,7 @@ def finding_documents(findings: DataFrame, reports: DataFrame, links: DataFrame,
     folded = link.fold_links(one, links)
     codes = links.join(rows.where("code is not null").select("row_id", "code").distinct(), "row_id").groupBy("finding_id").agg(F.array_sort(F.collect_set("code")).alias("codes_from_rows"))
     counts = link.child_count(one, chunks, "finding_id", "chunk_id").withColumnRenamed("n", "chunk_count")
-    order = F.row_number().over(Window.partitionBy("doc_id").orderBy("start_line", "finding_id"))
-    out = titled.withColumn("finding_order", order).join(folded, "finding_id", "left").join(codes, "finding_id", "left").join(counts, "finding_id", "left")
+    out = ordered.numbered(titled, ["doc_id"], ["start_line", "finding_id"], "finding_order").join(folded, "finding_id", "left").join(codes, "finding_id", "left").join(counts, "finding_id", "left")
     return out.withColumns({"item_norm": tx.bare_item("item"), "codes_from_rows": F.coalesce("codes_from_rows", F.array().cast("array<string>")), "overview_keywords": F.array_join(F.coalesce("reason_kw_norm", F.array().cast("array<string>")), " ")})
 
 

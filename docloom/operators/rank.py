@@ -8,6 +8,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.operators import ordered
+from docloom.runtime import materialize
+
 # The order in which sections come in a context; others come last.
 SECTION_ORDER = {"조사기법": 1, "과세논리": 2, "증빙 및 리스크": 3, "조사착안": 4}
 
@@ -52,19 +55,26 @@ def match(text: Column | str, words: Sequence[str]) -> Column:
 
 
 def accept(blocks: DataFrame, doc: str = "doc_id", key: str = "finding_id", per_doc: int = 2, n: int = 3) -> DataFrame:
-    """Blocks with ``rank``, ``accepted`` and ``excluded``: the best ``n`` with at most ``per_doc`` of a document.
+    """The best ``n`` blocks with at most ``per_doc`` of a document, and the blocks passed over on the way to the last of them.
 
-    Excluded are the passed-over blocks that rank before the last accepted one (all others if fewer than n were
-    accepted). Equal scores by key.
+    Adds ``accepted`` and ``rank`` (among all blocks; null for the passed-over ones). If fewer than n could be
+    accepted, all others count as passed over. Equal scores by key; blocks without a score stay out. No block list is
+    sorted as a whole: documents are cut to their best, of which the best n are taken.
     """
-    order = [F.desc("score"), F.col(key)]
-    r = blocks.withColumn("rank", F.row_number().over(Window.partitionBy().orderBy(*order)))
-    r = r.withColumn("_d", F.row_number().over(Window.partitionBy(doc).orderBy("rank")))
-    may = F.col("_d") <= per_doc
-    r = r.withColumn("_n", F.sum(may.cast("int")).over(Window.partitionBy().orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)))
-    r = r.withColumn("accepted", may & (F.col("_n") <= n))
-    last = F.when(F.max("_n").over(Window.partitionBy()) >= n, F.max(F.when(F.col("accepted"), F.col("rank"))).over(Window.partitionBy()))
-    return r.withColumn("excluded", ~F.col("accepted") & (last.isNull() | (F.col("rank") < last))).drop("_d", "_n")
+    b = materialize(blocks.where(F.col("score").isNotNull()), "blocks")
+    mine = F.row_number().over(Window.partitionBy(doc).orderBy(F.desc("score"), key))
+    top = b.withColumn("_d", mine).where(F.col("_d") <= per_doc).orderBy(F.desc("score"), key).limit(n).select(key, "score").collect()  # n rows
+
+    def before(r) -> Column:
+        return (F.col("score") > F.lit(r["score"])) | ((F.col("score") == F.lit(r["score"])) & (F.col(key) < F.lit(r[key])))
+
+    if not top:
+        return b.withColumns({"accepted": F.lit(False), "rank": F.lit(None).cast("long")}).limit(0)
+    ahead = b.agg(*[F.count_if(before(r)).alias(f"a{i}") for i, r in enumerate(top)]).first()
+    rank = F.create_map(*[F.lit(x) for i, r in enumerate(top) for x in (r[key], ahead[f"a{i}"] + 1)])
+    accepted = F.col(key).isin([r[key] for r in top])
+    passed = before(top[-1]) if len(top) == n else F.lit(True)
+    return b.where(accepted | passed).withColumns({"accepted": accepted, "rank": F.try_element_at(rank, F.col(key)).cast("long")})
 
 
 def merge_adjacent(chunks: DataFrame, block: str = "finding_id", pairs: bool = False) -> DataFrame:
@@ -101,16 +111,15 @@ def first_chunks(chunks: DataFrame, block: str = "finding_id", n: int = 3) -> Da
     return chunks.withColumn("_r", r).where(F.col("_r") <= n).drop("_r")
 
 
-def pack_context(pieces: DataFrame, group: str, block: str, order: Sequence[str], budget: int = 4000, text: str = "text") -> DataFrame:
+def pack_context(pieces: DataFrame, group: str, order: Sequence[str], budget: int = 4000, text: str = "text") -> DataFrame:
     """Pieces that fit a token budget (a fourth of their characters each), in order, with ``seq``, ``cost`` and ``spent``.
 
-    A piece is kept while what came before it costs less than the budget, and always as the first of a block that
-    began before the budget was spent. ``group`` is the question, so several contexts are packed at once.
+    A piece is kept while what came before it costs less than the budget. ``group`` is the question, so several
+    contexts are packed at once; a group may hold any share of the rows. ``order`` should be total within a group.
     """
-    w = Window.partitionBy(group).orderBy(*order)
-    p = pieces.withColumn("cost", F.floor(F.coalesce(F.char_length(text), F.lit(0)) / 4).cast("long")).withColumn("seq", F.row_number().over(w))
-    p = p.withColumn("spent", F.sum("cost").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return p.where(F.col("spent") - F.col("cost") < budget)
+    p = pieces.withColumn("cost", F.floor(F.coalesce(F.char_length(text), F.lit(0)) / 4).cast("long"))
+    p = ordered.running_sum(p, [group], order, "cost", "spent").where(F.col("spent") - F.col("cost") < budget)
+    return p.withColumn("seq", F.row_number().over(Window.partitionBy(group).orderBy(*[F.col(c).asc_nulls_first() for c in order])))
 
 
 def citations(pieces: DataFrame, chunk: str = "chunk_id") -> DataFrame:
@@ -124,11 +133,11 @@ def references(cited: DataFrame, order: Sequence[str], block: str = "finding_id"
 
 
 def excluded_summary(excluded: DataFrame, doc: str = "doc_id", key: str = "finding_id", docs: int = 2, blocks: int = 3) -> DataFrame:
-    """``doc``, ``items``, ``more``: of the first documents the first blocks, and how many more there are."""
-    w = Window.partitionBy(doc)
-    e = excluded.withColumns({"_b": F.row_number().over(w.orderBy("rank")), "_n": F.count("*").over(w), "_f": F.min("rank").over(w)})
-    g = e.where(F.col("_b") <= blocks).groupBy(doc).agg(F.array_sort(F.collect_list(F.struct("rank", key))).alias("l"), F.first("_n").alias("n"), F.first("_f").alias("f"))
-    return g.orderBy("f").limit(docs).select(doc, F.transform("l", lambda x: x[key]).alias("items"), F.greatest(F.col("n") - blocks, F.lit(0)).alias("more"))
+    """``doc``, ``items``, ``more``: of the documents with the best blocks the first blocks, and how many more there are."""
+    n = excluded.groupBy(doc).agg(F.count("*").alias("n"), F.min(F.struct((-F.col("score")).alias("s"), key)).alias("f")).orderBy("f").limit(docs)
+    e = excluded.join(F.broadcast(n), doc).withColumn("_b", F.row_number().over(Window.partitionBy(doc).orderBy(F.desc("score"), key))).where(F.col("_b") <= blocks)
+    g = e.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct("_b", key))).alias("l"), F.first("n").alias("n"), F.first("f").alias("f"))
+    return g.orderBy("f").select(doc, F.transform("l", lambda x: x[key]).alias("items"), F.greatest(F.col("n") - blocks, F.lit(0)).alias("more"))
 
 
 def hit_at(ranked: DataFrame, k: int, query: str = "query", relevance: str = "rel") -> DataFrame:
@@ -138,11 +147,11 @@ def hit_at(ranked: DataFrame, k: int, query: str = "query", relevance: str = "re
 
 def ndcg_at(ranked: DataFrame, k: int = 10, query: str = "query", relevance: str = "rel") -> DataFrame:
     """``query``, ``ndcg``: discounted gain of the first ``k`` over that of the best order; 0 without any relevant row."""
-    ideal = F.row_number().over(Window.partitionBy(query).orderBy(F.desc(relevance), "rank"))
-    r = ranked.withColumn("_i", ideal)
-    gain = lambda rank: F.sum(F.when(F.col(rank) <= k, F.col(relevance) / F.log2(F.col(rank) + 1.0)).otherwise(0.0))
-    g = r.groupBy(query).agg(gain("rank").alias("d"), gain("_i").alias("i"))
-    return g.select(query, F.when(F.col("i") > 0, F.col("d") / F.col("i")).otherwise(F.lit(0.0)).alias("ndcg"))
+    place = F.row_number().over(Window.partitionBy(query).orderBy(F.desc(relevance), "rank"))
+    gain = lambda rank: F.sum(F.coalesce(relevance, F.lit(0)) / F.log2(F.col(rank) + 1.0))
+    best = ranked.withColumn("_i", place).where(F.col("_i") <= k).groupBy(query).agg(gain("_i").alias("i"))  # k rows a query leave each task
+    got = ranked.where(F.col("rank") <= k).groupBy(query).agg(gain("rank").alias("d"))
+    return best.join(got, query, "left").select(query, F.when(F.col("i") > 0, F.coalesce("d", F.lit(0.0)) / F.col("i")).otherwise(F.lit(0.0)).alias("ndcg"))
 
 
 def common_rate(pairs: DataFrame, query: str = "query", least: int = 2) -> DataFrame:

@@ -109,7 +109,7 @@ def answer_context(findings: DataFrame, chunks: DataFrame, terms: Sequence[str],
     best = materialize(rank.accept(blocks.join(docs, "finding_id")).where("accepted").select("finding_id", F.col("rank").alias("block_rank")), "blocks")
     pieces = rank.merge_adjacent(rank.first_chunks(full.join(F.broadcast(best), "finding_id", "left_semi"))).join(F.broadcast(best), "finding_id")
     pieces = pieces.withColumns({"q": F.lit(0), "place": rank.section_place("section")})
-    return rank.pack_context(pieces, "q", "finding_id", ["block_rank", "place", "first_order", "section"], budget)
+    return rank.pack_context(pieces, "q", ["block_rank", "place", "first_order", "section"], budget)
 
 
 __all__ = ["Tables", "answer_context", "embed", "embedding_text", "ingest", "parse_reports", "report_meta"]

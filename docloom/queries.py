@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from docloom.functions import geometry as g
 from docloom.functions import text as tx
 from docloom.functions import vector as vx
-from docloom.operators import chunk, index, layout, link, meta, orphans, packed, parse, rank, retrieve, store
+from docloom.operators import chunk, index, layout, link, meta, ordered, orphans, packed, parse, rank, retrieve, store
 from docloom.plans import pipeline
 from docloom.runtime import table
 from docloom.schemas import KEYS
@@ -294,9 +294,9 @@ def markdown_round_trip(spark, d):
 select event_id, anchor, row_number() over (partition by user_id, anchor order by ts, event_id) n from a where event_type = 'purchase'""")
 def law_forward_fill(spark, d):
     """Forward fill and a running count, as laws get their finding: purchases by the user's last signup."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    e = table(spark, d, "events").withColumn("anchor", F.last(F.when(F.col("event_type") == "signup", F.col("event_id")), True).over(w))
-    return e.where("event_type = 'purchase'").select("event_id", "anchor", F.row_number().over(Window.partitionBy("user_id", "anchor").orderBy("ts", "event_id")).cast("long").alias("n"))
+    e = table(spark, d, "events").select("user_id", "ts", "event_id", "event_type", F.when(F.col("event_type") == "signup", F.col("event_id")).alias("own"))
+    e = ordered.carried(e, ["user_id"], ["ts", "event_id"], "own", "anchor").where("event_type = 'purchase'")
+    return ordered.numbered(e, ["user_id", "anchor"], ["ts", "event_id"]).select("event_id", "anchor", "n")
 
 
 # links
@@ -328,7 +328,7 @@ def title_lookup(spark, d):
 
 @query(sql=f"""with {_FI}, {_TR}, t as (select doc_id, max(title) t from reports where {_strip('title')} <> '' group by 1), m as (select finding_id, string_agg(distinct row_id, ',' order by row_id) row_ids from row_finding_map group by 1),
 c as (select finding_id, string_agg(distinct tr.code, ',' order by tr.code) codes from row_finding_map join tr using (row_id) where tr.code is not null group by 1), n as (select finding_id, count(distinct chunk_id) n from chunks group by 1)
-select finding_id, coalesce(t, doc_id) doc_title, row_number() over (partition by doc_id order by start_line nulls first, finding_id)::int finding_order, coalesce(row_ids, '') row_ids, coalesce(codes, '') codes, coalesce(n, 0) chunk_count, coalesce(array_to_string(reason_kw_norm, ' '), '') overview_keywords
+select finding_id, coalesce(t, doc_id) doc_title, row_number() over (partition by doc_id order by start_line nulls first, finding_id) finding_order, coalesce(row_ids, '') row_ids, coalesce(codes, '') codes, coalesce(n, 0) chunk_count, coalesce(array_to_string(reason_kw_norm, ' '), '') overview_keywords
 from fi left join t using (doc_id) left join m using (finding_id) left join c using (finding_id) left join n using (finding_id)""")
 def finding_documents(spark, d):
     f = index.finding_documents(table(spark, d, "findings"), table(spark, d, "reports"), table(spark, d, "row_finding_map"), table(spark, d, "table_rows"), table(spark, d, "chunks"))
@@ -429,10 +429,10 @@ def law_info(spark, d):
 
 @query
 def table_reflow(spark, d):
-    """Table rows as lines of cells, made Markdown tables of their reports."""
-    r = records(spark, d, "table_rows").where("doc_id is not null").select("doc_id", "row_no", "row_id", F.concat_ws("  ", F.lit("①"), F.coalesce("item", F.lit("-")), F.coalesce("code", F.lit("-")), F.coalesce(F.get(tx.keywords("reason_kw_raw"), F.lit(0)), F.lit("-"))).alias("l"))
-    text = r.groupBy("doc_id").agg(F.concat_ws("\n", F.lit("연번  조사항목  코드  적출요지"), F.transform(F.array_sort(F.collect_list(F.struct("row_no", "row_id", "l"))), lambda x: x["l"])).alias("t"))
-    return text.select("doc_id", layout.as_markdown_table("t", "doc_id").alias("md"))
+    """Table rows as lines of cells, made Markdown tables of at most 40 rows, as a page holds them."""
+    r = records(spark, d, "table_rows").where("doc_id is not null and row_no is not null").select("doc_id", "row_no", F.floor(F.col("row_no") / 40).alias("page"), "row_id", F.concat_ws("  ", F.lit("①"), F.coalesce("item", F.lit("-")), F.coalesce("code", F.lit("-")), F.coalesce(F.get(tx.keywords("reason_kw_raw"), F.lit(0)), F.lit("-"))).alias("l"))
+    text = r.groupBy("doc_id", "page").agg(F.concat_ws("\n", F.lit("연번  조사항목  코드  적출요지"), F.transform(F.array_sort(F.collect_list(F.struct("row_no", "row_id", "l"))), lambda x: x["l"])).alias("t"))
+    return text.select("doc_id", "page", layout.as_markdown_table("t", "doc_id").alias("md"))
 
 
 # index and search
@@ -609,16 +609,15 @@ def _accepted(spark, d):
     h = _hits(spark, d)
     docs = h.groupBy("finding_id").agg(F.min("doc_id").alias("doc_id"))
     best = rank.block_scores(h).join(docs, "finding_id").withColumn("score", F.round("score", 6))
-    # only blocks that can be accepted or passed over before the last accepted one matter: the report's feature is its top
     return rank.accept(best)
 
 
-@query(sql=f"with {_AC} select rank::int rank, doc_id, finding_id, score from z where ok")
+@query(sql=f"with {_AC} select rank, doc_id, finding_id, score from z where ok")
 def doc_cap_topn(spark, d):
     return _accepted(spark, d).where("accepted").select("rank", "doc_id", "finding_id", "score")
 
 
-@query(sql=f"with {_AC} select rank::int rank, doc_id, finding_id from z, l where not ok and rank < r")
+@query(sql=f"with {_AC} select rank, doc_id, finding_id from z, l where not ok and rank < r")
 def excluded_blocks(spark, d):
     return _accepted(spark, d).where("excluded").select("rank", "doc_id", "finding_id")
 
@@ -635,7 +634,7 @@ def merge_adjacent(spark, d):
 select doc_id, chunk_id, c::bigint cost, seq::int seq, s::bigint spent from p where s - c < 4000""")
 def token_budget_pack(spark, d):
     """A context for every report, of its chunks in order."""
-    return rank.pack_context(records(spark, d, "chunks").where("doc_id is not null"), "doc_id", "finding_id", ["chunk_id"]).select("doc_id", "chunk_id", "cost", "seq", "spent")
+    return rank.pack_context(records(spark, d, "chunks").where("doc_id is not null"), "doc_id", ["chunk_id"]).select("doc_id", "chunk_id", "cost", "seq", "spent")
 
 
 @query(sql=f"with {_CH}, r as (select *, row_number() over (partition by finding_id order by section_order, chunk_order, chunk_id) r from ch where finding_id is not null) select finding_id, chunk_id, coalesce(page::varchar, '-') page, start_line from r where r = 1")

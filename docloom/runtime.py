@@ -42,21 +42,28 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors."""
+    """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors.
+
+    The files go when the driver's JVM ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/docloom/{name}-{uuid.uuid4().hex}"
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame, *keys) -> DataFrame:
-    """Repartition ``df`` if its scan has fewer partitions than there are cores.
+def spread(df: DataFrame, *keys, most: int = 64 << 20) -> DataFrame:
+    """Repartition ``df`` if it reads fewer files than half the cores, and less than ``most`` bytes a core.
 
-    A scan of one or two small files would leave most cores idle in a CPU-heavy Python stage. Inputs of
-    many files already have enough splits and are not shuffled.
+    A scan of one or two small files would leave most cores idle in a CPU-heavy Python stage. Larger inputs have
+    enough splits and are not shuffled. Nothing is run to find out.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() * 2 > cores:
+    files = len(df.inputFiles())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if not files or files * 2 > cores or size > most * cores:
         return df
     return df.repartition(cores, *keys) if keys else df.repartition(cores)
 

@@ -142,8 +142,10 @@ def test_blend_and_caps(spark):
     assert {r.finding_id: round(r.score, 6) for r in rank.join_sections(a, b).collect()} == {"f1": 0.4, "f2": 0.3}
     blocks = spark.createDataFrame([(d, f"f{i}", 9.0 - i) for i, d in enumerate("AAABC")], "doc_id string, finding_id string, score double")
     got = rank.accept(blocks).orderBy("rank").collect()
-    assert [r.doc_id for r in got if r.accepted] == ["A", "A", "B"]
-    assert [r.finding_id for r in got if r.excluded] == ["f2"]
+    assert [(r.doc_id, r.rank) for r in got if r.accepted] == [("A", 1), ("A", 2), ("B", 4)]
+    assert [r.finding_id for r in got if not r.accepted] == ["f2"]
+    assert rank.accept(blocks.limit(0)).count() == 0
+    assert {r.finding_id: r.accepted for r in rank.accept(blocks, n=9).collect()} == {"f0": True, "f1": True, "f2": False, "f3": True, "f4": True}
 
 
 def test_merge_adjacent(spark):

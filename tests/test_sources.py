@@ -138,13 +138,13 @@ def test_answer(spark):
     assert answer.compose("q", ctx, ["- r"], "n") == "n\n\na\n\nb\n\n- r"
     assert answer.compose("q", ctx.limit(0)) == answer.NO_CONTEXT
     assert answer.compose("q", ctx, model=lambda q, c: 1 / 0) == answer.FAILED
-    ex = spark.createDataFrame([("d", f"f{i}", i) for i in range(5)], "doc_id string, finding_id string, rank int")
+    ex = spark.createDataFrame([("d", f"f{i}", 9.0 - i) for i in range(5)], "doc_id string, finding_id string, score double")
     assert answer.excluded_lines(rank.excluded_summary(ex)) == ["- d: f0, f1, f2 (+2)"]
 
 
 def test_pack_budget(spark):
     p = spark.createDataFrame([(0, "f", i, "x" * 40) for i in range(10)], "q int, finding_id string, o int, text string")
-    got = rank.pack_context(p, "q", "finding_id", ["o"], budget=25)
+    got = rank.pack_context(p, "q", ["o"], budget=25)
     assert [(r.seq, r.spent) for r in got.orderBy("seq").collect()] == [(1, 10), (2, 20), (3, 30)]
 
 
@@ -154,3 +154,23 @@ def test_streams(spark, tmp_path):
     q = ingest.upsert_stream(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), str(tmp_path / "t"), ["k"], ["o"]).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     assert q.awaitTermination(60)
     assert sorted(r.v for r in spark.read.parquet(str(tmp_path / "t")).collect()) == ["a", "c"]
+
+
+def test_ordered_windows_of_hot_keys(spark):
+    import random
+
+    from pyspark.sql import Window
+
+    from docloom.operators import ordered
+
+    rnd = random.Random(1)
+    rows = [(None if i % 50 == 0 else "hot" if i % 3 else f"k{i % 7}", rnd.choice([None, *range(40)]), i, rnd.choice([None, None, i])) for i in range(2000)]
+    df = spark.createDataFrame(rows, "k string, o int, i int, v int").repartition(8)
+    order = ["o", "i"]
+    w = Window.partitionBy("k").orderBy(*order)
+    run = w.rowsBetween(Window.unboundedPreceding, 0)
+    want = {r.i: (r.n, r.s, r.c) for r in df.select("i", F.row_number().over(w).alias("n"), F.sum(F.coalesce("v", F.lit(0))).over(run).alias("s"), F.last("v", True).over(run).alias("c")).collect()}
+    assert {r.i: r.n for r in ordered.numbered(df, ["k"], order).collect()} == {i: x[0] for i, x in want.items()}
+    assert {r.i: r.total for r in ordered.running_sum(df, ["k"], order, "v").collect()} == {i: x[1] for i, x in want.items()}
+    assert {r.i: r.c for r in ordered.carried(df, ["k"], order, "v", "c").collect()} == {i: x[2] for i, x in want.items()}
+    assert ordered.numbered(df.limit(0), ["k"], order).count() == 0
