@@ -617,9 +617,9 @@ def doc_cap_topn(spark, d):
     return _accepted(spark, d).where("accepted").select("rank", "doc_id", "finding_id", "score")
 
 
-@query(sql=f"with {_AC} select rank, doc_id, finding_id from z, l where not ok and rank < r")
+@query(sql=f"with {_AC} select doc_id, finding_id from z, l where not ok and rank < r")
 def excluded_blocks(spark, d):
-    return _accepted(spark, d).where("excluded").select("rank", "doc_id", "finding_id")
+    return _accepted(spark, d).where("not accepted").select("doc_id", "finding_id")
 
 
 @query(sql=f"""with {_CH}, u as (select * from ch where finding_id is not null and chunk_order is not null qualify row_number() over (partition by finding_id, section, chunk_order order by chunk_id) = 1),
