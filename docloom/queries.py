@@ -602,14 +602,14 @@ def intersect_or_blend(spark, d):
     return rank.join_sections(a, b).select("finding_id", F.round("score", 6).alias("score"))
 
 
-_AC = f"{_HITS}, {_BS}, o as (select s.finding_id, m.doc_id, round(s.score, 6) score from s join (select finding_id, min(doc_id) doc_id from h group by 1) m using (finding_id)), k as (select *, row_number() over (order by score desc, finding_id) rank from o), c as (select *, row_number() over (partition by doc_id order by rank) dd from k), n as (select *, sum(case when dd <= 2 then 1 else 0 end) over (order by rank) nn from c), z as (select *, dd <= 2 and nn <= 3 ok from n), l as (select max(rank) r from z where ok)"
+_AC = f"{_HITS}, {_BS}, o as (select s.finding_id, m.doc_id, round(s.score, 6) score from s join (select finding_id, min(doc_id) doc_id from h group by 1) m using (finding_id)), k as (select *, row_number() over (order by score desc, finding_id) rank from o), c as (select *, row_number() over (partition by doc_id order by rank) dd from k), n as (select *, sum(case when dd <= 1 then 1 else 0 end) over (order by rank) nn from c), z as (select *, dd <= 1 and nn <= 20 ok from n), l as (select max(rank) r from z where ok)"
 
 
 def _accepted(spark, d):
     h = _hits(spark, d)
     docs = h.groupBy("finding_id").agg(F.min("doc_id").alias("doc_id"))
     best = rank.block_scores(h).join(docs, "finding_id").withColumn("score", F.round("score", 6))
-    return rank.accept(best)
+    return rank.accept(best, per_doc=1, n=20)
 
 
 @query(sql=f"with {_AC} select rank, doc_id, finding_id, score from z where ok")
@@ -617,7 +617,7 @@ def doc_cap_topn(spark, d):
     return _accepted(spark, d).where("accepted").select("rank", "doc_id", "finding_id", "score")
 
 
-@query(sql=f"with {_AC} select doc_id, finding_id from z, l where not ok and rank < r")
+@query(sql=f"with {_AC} select doc_id, finding_id from z, l where not ok and (rank < r or (select count(*) from z where ok) < 20)")
 def excluded_blocks(spark, d):
     return _accepted(spark, d).where("not accepted").select("doc_id", "finding_id")
 
