@@ -80,7 +80,7 @@ def p4_counts(spark: SparkSession, d: str) -> DataFrame:
     return orphans.counts(_orphan_state(spark, d))
 
 
-# ---- the reference's own operators, each over whole tables
+# ---- document analytics and retrieval, each over whole tables
 
 _AT = {"chunks": "created_at", "law_references": "created_at", "table_rows": "ingested_at", "findings": "ingested_at", "reports": "ingested_at", "chunks_vectors": "upserted_at", "findings_vectors": "upserted_at"}
 _KEY = KEYS | {"chunks_vectors": "chunk_id", "findings_vectors": "finding_id"}
@@ -735,3 +735,105 @@ def missing_parents(spark, d):
 def lookup_by_id(spark, d):
     c = records(spark, d, "chunks").select("chunk_id", "doc_id", F.char_length("text").alias("n_chars"))
     return files.by_id(records(spark, d, "reports"), c, "doc_id", ["title"]).select("chunk_id", "n_chars", "title")
+
+
+# further boxes, lines and texts
+
+
+@query(sql=f"with {_BOX} select page, n, k, case when x1 - x0 < 30 then least(600 - 10, floor(600 * 0.8))::double else x1 end x1, round(x0 * 0.5, 6) half, (x1 - x0) * (y1 - y0) >= 600 and (x1 - x0) * (y1 - y0) <= 114000 and greatest(x1 - x0, y1 - y0) < least(x1 - x0, y1 - y0) * 50 and y1 - y0 >= 6 plausible, y1 - y0 >= 9 tall from b")
+def box_expand_filter(spark, d):
+    """Narrow boxes widened, boxes scaled, and which are plausible regions of a page of 600 by 200."""
+    b = _boxes(spark, d)
+    return b.select("page", "n", "k", g.widened("box", F.lit(600.0), narrow=30)["x1"].alias("x1"), F.round(g.scaled("box", 0.5)["x0"], 6).alias("half"), layout.plausible_region("box", F.lit(120000.0), height=6.0).alias("plausible"), layout.tall_enough("box", 9.0).alias("tall"))
+
+
+@query(sql=f"with {_BOX}, c as (select page, n, k, greatest(0, round_even(x0 * 2, 0))::int x0, greatest(0, round_even(y0 * 2, 0))::int y0, least(100, round_even(x1 * 2, 0))::int x1, least(30, round_even(y1 * 2, 0))::int y1 from b) select page, n, k, case when x1 > x0 and y1 > y0 then x0 end x0, case when x1 > x0 and y1 > y0 then y1 end y1, format('page_{{:03d}}/law_{{:03d}}.png', n, n) as name from c")
+def crop_rectangles(spark, d):
+    c = _boxes(spark, d).withColumn("c", g.crop("box", 2.0, F.lit(100), F.lit(30)))
+    return c.select("page", "n", "k", "c.x0", "c.y1", layout.crop_name("law", "n", "n").alias("name"))
+
+
+@query(sql=f"with {_BOX} select page, n, k, y1 > 15 * 0.9 and length(trim(l)) < 10 and regexp_matches(l, '[0-9]') footer, contains(c, '단위:') or contains(c, '원)') or (x0 > 60 * 0.7 and length(trim(l)) < 15 and regexp_matches(l, '[()]')) unit from (select *, ' (' || n || case when n = 3 then '원)' else '' end as l, '(' || n || case when n = 3 then '원)' else '' end as c from b)")
+def noise_blocks(spark, d):
+    b = _boxes(spark, d).withColumn("l", F.concat(F.lit(" ("), F.col("n").cast("string"), F.when(F.col("n") == 3, "원)").otherwise("")))
+    return b.select("page", "n", "k", layout.is_footer("box", "l", F.lit(15.0)).alias("footer"), layout.is_unit_label("box", "l", F.lit(60.0)).alias("unit"))
+
+
+@query(sql=f"""with {_BOX}, l as (select page, n, k, x0, x1, y0, y1 from b where n = 1), t as (select l.page, l.k, l.y0, l.y1, list_sort(list_distinct(list(b.y0) filter (where b.y0 is not null))) ys from l left join b on b.page = l.page and b.n > 1 and b.y0 >= l.y0 and b.y1 <= l.y1 group by l.page, l.k, l.y0, l.y1, l.x0, l.x1),
+u as (select page, k, y0, y1, case when len(ys) > 1 then ys else [y0] end ys from t) select page, k, (i - 1)::int part, case when i = 1 then y0 else ys[i] end y0, case when i < len(ys) then ys[i + 1] else y1 end y1 from (select *, unnest(generate_series(1, len(ys))) i from u)""")
+def law_box_slices(spark, d):
+    b = _boxes(spark, d)
+    laws = b.where("n = 1").select("page", "k", "box")
+    blocks = b.where("n > 1").join(laws.select("page", "k").distinct().withColumnRenamed("k", "_k"), "page").select("page", F.col("_k").alias("k"), "box", F.lit("법령").alias("text"))
+    s = layout.law_slices(laws, blocks, ["page", "k"])
+    return s.select("page", "k", "part", F.col("box")["y0"].alias("y0"), F.col("box")["y1"].alias("y1"))
+
+
+@query(sql=f"with {_CH} select chunk_id, array_to_string(string_split(text, chr(10))[2:4], chr(10)) part, case when contains(text, chr(10) || '## ') then string_split(text, chr(10) || '## ')[1] else substr(text, 1, 2000) end overview from ch where text is not null")
+def lines_and_overview(spark, d):
+    c = records(spark, d, "chunks").where("text is not null")
+    return c.select("chunk_id", tx.lines_between("text", F.lit(2), F.lit(4)).alias("part"), parse.overview("text", "\n## ").alias("overview"))
+
+
+@query(sql=r"select doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(coalesce(text, ''), '[가-힣]{2,}(?:은행|증권|보험|카드)') || regexp_extract_all(coalesce(text, ''), 'Lurano|Kymbra|Halvern')))[1:10], ',') names from documents")
+def entity_names(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.array_join(tx.entities("text", ["[가-힣]{2,}(?:은행|증권|보험|카드)", "Lurano|Kymbra|Halvern"]), ",").alias("names"))
+
+
+@query(sql="select kind, label, pattern from (values " + ", ".join(f"('tags', '{k}', '{p}')" for k, v in TAGS.items() for p in (k, *v)) + ") v(kind, label, pattern)")
+def vocabulary_long(spark, d):
+    return meta.vocabulary_table(spark, {"tags": TAGS})
+
+
+@query(sql=f"with {_CH} select chunk_id, case when contains(text, '계좌') and contains(text, '원장') then 'full' when contains(text, '계좌') or contains(text, '원장') then 'partial' else 'none' end m from ch")
+def block_keyword_match(spark, d):
+    return records(spark, d, "chunks").select("chunk_id", rank.match("text", ["계좌", "원장"]).alias("m"))
+
+
+@query(sql=f"with {_CH} select chunk_id id, case when length(coalesce(text_norm, '')) < 10 then text else text_norm end as text from ch")
+def text_backfill(spark, d):
+    c = records(spark, d, "chunks")
+    return retrieve.with_text(c.select(F.col("chunk_id").alias("id"), F.col("text_norm").alias("text")), c.select("chunk_id", "text", F.lit(None).cast("string").alias("text_norm"))).select("id", "text")
+
+
+@query
+def section_retrieval(spark, d):
+    """The best chunks of two sections among the findings of one keyword."""
+    found = retrieve.top(index.bm25(records(spark, d, "findings"), "finding_id", ["매출"], {"item": 1.0}), 30).select(F.col("id").alias("finding_id"))
+    got = retrieve.retrieve_sections(records(spark, d, "chunks"), found, {"조사착안": ["거래처", "원장"], "조사기법": ["전표"]}, records(spark, d, "chunks_vectors"), QUERY_VECTOR, least=0.0)
+    return got.select("section", "id", F.round("score", 6).alias("score"))
+
+
+@query(sql=f"with {_AC}, x as (select z.doc_id, finding_id, score, row_number() over (partition by z.doc_id order by score desc, finding_id) b, count(*) over (partition by z.doc_id) c from z, l where not ok and (rank < r or (select count(*) from z where ok) < 20)), f as (select doc_id, max(c) c, row_number() over (order by -max(score), arg_min(finding_id, b)) o, string_agg(finding_id, ',' order by b) filter (where b <= 3) items from x group by 1) select doc_id, items, greatest(c - 3, 0) more from f where o <= 2")
+def excluded_summary(spark, d):
+    return rank.excluded_summary(_accepted(spark, d).where("not accepted")).withColumn("items", F.array_join("items", ","))
+
+
+@query(sql=f"with {_LW}, x as (select doc_id, page, law_id, law_type, law_name from lw where doc_id is not null and page is not null) select doc_id, page::int page, count(*)::bigint n from x group by 1, 2")
+def layout_json_export(spark, d):
+    """Laws written as layout JSON, one object a report and page block, and read back."""
+    x = records(spark, d, "law_references").where("doc_id is not null and page is not null").select(F.concat_ws("@", "doc_id", "page").alias("doc_id"), "page", F.get("bbox", F.lit(1)).alias("y0"), F.get("bbox", F.lit(0)).alias("x0"), F.lit("law_table").alias("type"), "law_type", "law_name")
+    back = parse.layout_laws(store.to_layout_json(x))
+    return back.groupBy(F.substring_index("doc_id", "@", 1).alias("doc_id"), "page").agg(F.count("*").alias("n"))
+
+
+@query(sql=f"with {_FI} select count(*)::bigint as \"rows\" from fi")
+def table_rows_count(spark, d):
+    return records(spark, d, "findings").agg(F.count("*").alias("rows"))
+
+
+@query
+def table_files(spark, d):
+    return files.table_size(table(spark, d, "chunks"))
+
+
+@query
+def question_plans(spark, d):
+    """Finding items as questions: cleaned in a batch; intent and script by the same functions that a single question gets."""
+    q = records(spark, d, "findings").select("finding_id", F.concat(F.coalesce("item", F.lit("")), F.lit(" 사례를 알려줘")).alias("q"))
+    return q.select("finding_id", tx.preprocess_query("q").alias("plain"), tx.script_of("q").alias("script"))
+
+
+@query(sql=f"with {_CV}, f as (select id, score, row_number() over (order by score desc, id) r from vs where score is not null and not isnan(score)) select id, round(score, 6) score from f where r <= 50")
+def chunk_vector_topk(spark, d):
+    return retrieve.vector_top(records(spark, d, "chunks_vectors"), QUERY_VECTOR, 50, "chunk_id").withColumn("score", F.round("score", 6))
