@@ -83,4 +83,24 @@ def p8_languages(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_nearest, p3_found, p3_forms, p5_found, p5_pieces, p6_ids, p7_containers, p7_fill, p8_found, p8_segments, p8_languages)}
-ORACLES: dict[str, str] = {}
+_WS = r"\x{9}-\x{d}\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+
+
+def _near_sql(tbl: str) -> str:
+    """Brute force over all pairs of a table; small tables only."""
+    return f"""select '{tbl}' tbl, least(a, b) key_a, greatest(a, b) key_b from (
+  select a, b, c, row_number() over (partition by a order by c desc, b) r from (
+    select u.k a, w.k b, list_inner_product(u.v, w.v) / (u.n * w.n) c from {tbl}_v u join {tbl}_v w on u.k <> w.k)) where r <= 5 and c >= 0.92"""
+
+
+def _usable_sql(tbl: str, key: str) -> str:
+    return f"""{tbl}_l as (select {key} k, vector::double[] v from {tbl} where {key} is not null qualify row_number() over (partition by {key} order by upserted_at desc nulls last) = 1),
+{tbl}_v as (select k, v, sqrt(list_inner_product(v, v)) n from {tbl}_l where len(v) = 64 and len(list_filter(v, lambda x: x is null or isnan(x) or isinf(x))) = 0 and list_inner_product(v, v) > 0)"""
+
+
+ORACLES: dict[str, str] = {
+    "p1_found": f"with {_usable_sql('chunks_vectors', 'chunk_id')}, {_usable_sql('findings_vectors', 'finding_id')} select distinct * from ({_near_sql('chunks_vectors')} union all {_near_sql('findings_vectors')})",
+    "p5_found": f"""with c as (select distinct 'chunks' tbl, chunk_id row_key, 0 span_no from chunks where chunk_id is not null and (length(text) > 6000 or len(regexp_extract_all(text, '[^{_WS}]+')) > 800)),
+f as (select finding_id, unnest(section_spans) s, unnest(generate_series(1, len(section_spans)))::int i from findings where finding_id is not null)
+select * from c union all select distinct 'findings', finding_id, i from f where s.end_line - s.start_line + 1 > 120""",
+}
