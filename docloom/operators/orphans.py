@@ -11,7 +11,9 @@ first time is after the first time of the referring record; null if the referenc
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -86,8 +88,11 @@ def counts(state: State) -> DataFrame:
     return orphans(state).groupBy("tbl", "ym", "kind").agg(F.count("*").alias("n"))
 
 
-def replay(refs: DataFrame, parent_rows: DataFrame, batches: int = 3) -> State:
-    """Take whole tables in as ``batches`` batches by arrival time. Rows without a time arrive first."""
+def states(refs: DataFrame, parent_rows: DataFrame, batches: int = 3) -> Iterator[tuple[int | None, State]]:
+    """Take whole tables in as ``batches`` batches by arrival time, and give the state after each, with the batch's last microsecond.
+
+    Rows without a time arrive first; the last batch has no end.
+    """
     spark = refs.sparkSession
     cuts: list = []
     if batches > 1:
@@ -103,11 +108,23 @@ def replay(refs: DataFrame, parent_rows: DataFrame, batches: int = 3) -> State:
         if hi is not None:
             inside &= at <= hi
         state = advance(state, refs.where(inside), parent_rows.where(inside))
+        yield hi, state
+
+
+def replay(refs: DataFrame, parent_rows: DataFrame, batches: int = 3) -> State:
+    """The state after all batches; see :func:`states`."""
+    *_, (_, state) = states(refs, parent_rows, batches)
     return state
 
 
-def report_references(chunks: DataFrame, law_references: DataFrame, table_rows: DataFrame, findings: DataFrame, reports: DataFrame, batches: int = 3) -> State:
-    """The state over the tables of case reports; see :func:`replay`."""
+def snapshots(refs: DataFrame, parent_rows: DataFrame, batches: int = 3) -> DataFrame:
+    """``until`` (null for the last), ``tbl``, ``ym``, ``kind``, ``n``: the counts as they were after each batch."""
+    parts = [counts(s).withColumn("until", F.timestamp_micros(F.lit(hi).cast("long"))) for hi, s in states(refs, parent_rows, batches)]
+    return reduce(lambda a, b: a.unionByName(b), parts).select("until", "tbl", "ym", "kind", "n")
+
+
+def report_tables(chunks: DataFrame, law_references: DataFrame, table_rows: DataFrame, findings: DataFrame, reports: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Arrivals of references and of parents in the tables of case reports."""
     refs = (
         references(chunks, "chunks", "chunk_id", "finding_id", "findings", "created_at")
         .unionByName(references(law_references, "law_references", "law_id", "finding_id", "findings", "created_at"))
@@ -115,4 +132,9 @@ def report_references(chunks: DataFrame, law_references: DataFrame, table_rows:
         .unionByName(references(findings, "findings", "finding_id", "doc_id", "reports", "ingested_at"))
     )
     known = parents(findings, "findings", "finding_id", "ingested_at", "deleted_at").unionByName(parents(reports, "reports", "doc_id", "ingested_at", "deleted_at"))
-    return replay(refs, known, batches)
+    return refs, known
+
+
+def report_references(chunks: DataFrame, law_references: DataFrame, table_rows: DataFrame, findings: DataFrame, reports: DataFrame, batches: int = 3) -> State:
+    """The state over the tables of case reports; see :func:`states`."""
+    return replay(*report_tables(chunks, law_references, table_rows, findings, reports), batches)

@@ -80,6 +80,12 @@ def p4_counts(spark: SparkSession, d: str) -> DataFrame:
     return orphans.counts(_orphan_state(spark, d))
 
 
+@query
+def p4_snapshots(spark: SparkSession, d: str) -> DataFrame:
+    """The counts as they were after each batch of arrivals: orphans appear, are resolved and reopen."""
+    return orphans.snapshots(*orphans.report_tables(*(table(spark, d, t) for t in _REPORT_TABLES)))
+
+
 # ---- document analytics and retrieval, each over whole tables
 
 _AT = {"chunks": "created_at", "law_references": "created_at", "table_rows": "ingested_at", "findings": "ingested_at", "reports": "ingested_at", "chunks_vectors": "upserted_at", "findings_vectors": "upserted_at"}

@@ -42,6 +42,18 @@ def test_states_over_time(spark):
     assert kinds(orphans.advance(s, none_r, none_p)) == {}
 
 
+def test_snapshots(spark):
+    refs = spark.createDataFrame([("c", f"r{m}", "p", "b", D[m]) for m in range(12)], REFS)
+    known = spark.createDataFrame([("p", "b", D[2], False), ("p", "b", D[6], True)], PARENTS)
+    rows = orphans.snapshots(refs, known, 3).collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r.until, {}).setdefault(r.kind, 0)
+        by[r.until][r.kind] += r.n
+    assert by[None] == {"deleted": 12} and len(by) == 3
+    assert by[min(t for t in by if t)] == {"late": 2}
+
+
 def test_keys(spark):
     df = spark.createDataFrame([(" \tAb\n",), ("  ",), (None,), ("ab\u00a0",)], "k string")
     assert [r[0] for r in df.select(orphans.key_form("k")).collect()] == ["ab", None, None, "ab\u00a0"]
