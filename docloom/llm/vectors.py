@@ -386,8 +386,9 @@ def nearest(base: DataFrame, queries: DataFrame, k: int = 5, dim: int = 64, targ
 
     def visit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo in range(0, b.num_rows, 256):
-                part = b.slice(lo, 256)
+            step = max(4, min(256, (1 << 22) // max(1, len(known))))
+            for lo in range(0, b.num_rows, step):
+                part = b.slice(lo, step)
                 lc = logchance(_floats(part.column(2), dim))
                 order = np.argsort(-lc, 1, kind="stable")
                 ch = np.exp(np.take_along_axis(lc, order, 1))
