@@ -20,10 +20,9 @@ def merge(target: DataFrame, batch: DataFrame, keys: Sequence[str], order: Seque
 
     Columns that only one side has are null in the other's rows.
     """
-    new = first_wins(batch, keys, order)
-    match = [target[k].eqNullSafe(new[k]) for k in keys]
-    kept = target.join(new.select(*keys), match, "left_anti")
-    return kept.unionByName(new, allowMissingColumns=True)
+    came = batch.select(*[F.col(k).alias(f"_{k}") for k in keys])  # repeats do no harm to an anti-join
+    kept = target.join(came, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], "left_anti")
+    return kept.unionByName(first_wins(batch, keys, order), allowMissingColumns=True)
 
 
 def _fs(spark: SparkSession, path: str):
