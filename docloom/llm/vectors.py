@@ -174,7 +174,8 @@ def near_pairs(base: DataFrame, k: int = 5, min_cos: float = 0.92, dim: int = 64
     """``id_a``, ``id_b``, ``cos``, ``rank``: for every row of :func:`usable` its ``k`` nearest of cosine ``min_cos`` or more.
 
     Equal cosines are ranked by id. Of more than ``copies`` rows with exactly equal vectors one stands for
-    all in the index; each of them has k fixed others of them as its nearest. A bucket of more than ``hot``
+    all in the index; the first of them by id, which are all that can rank among k, are paired with each of
+    the others and with every row that meets the one. A bucket of more than ``hot``
     rows is cut into blocks, every two of which are compared exactly by a task of their own, which keeps
     the k best of each row. An empty table gives no rows.
     """
@@ -183,7 +184,8 @@ def near_pairs(base: DataFrame, k: int = 5, min_cos: float = 0.92, dim: int = 64
     m = functions_for(n, bucket)
 
     # exact copies in large groups
-    hashed = base.select("nid", F.xxhash64("vec").alias("h1"), F.xxhash64(F.lit(1), "vec").alias("h2"))
+    copies = max(copies, k)  # each has k others then, which no row outside of the group can outrank
+    hashed = base.select("nid", "id", F.xxhash64("vec").alias("h1"), F.xxhash64(F.lit(1), "vec").alias("h2"))
     big = materialize(hashed.groupBy("h1", "h2").agg(F.min("nid").alias("rep"), F.count("*").alias("c")).where(F.col("c") > copies), "copies")
     few = big.count()
     work = base
@@ -193,9 +195,11 @@ def near_pairs(base: DataFrame, k: int = 5, min_cos: float = 0.92, dim: int = 64
         tagged = hashed.join(side, ["h1", "h2"])
         stand_ins = tagged.where("nid <> rep").select("nid")
         work = materialize(base.join(stand_ins, "nid", "left_anti"), "distinct-vectors")
-        hubs = tagged.groupBy("h1", "h2", F.pmod("nid", F.lit(997)).alias("s")).agg(F.min("nid").alias("x"))
-        hubs = hubs.groupBy("h1", "h2").agg(F.slice(F.array_sort(F.collect_list("x")), 1, k + 1).alias("hubs"))
-        extra = tagged.join(F.broadcast(hubs) if few <= 100_000 else hubs, ["h1", "h2"]).select("nid", F.explode("hubs").alias("other")).where("nid <> other")
+        # k + 1 first by id, as one of them is left out for itself; the limit comes before the shuffle
+        first = tagged.withColumn("i", F.row_number().over(Window.partitionBy("h1", "h2").orderBy("id"))).where(F.col("i") <= k + 1)
+        hubs = materialize(first.groupBy("h1", "h2", "rep").agg(F.collect_list("nid").alias("hubs")), "hubs")
+        near = F.broadcast(hubs) if few <= 100_000 else hubs
+        extra = tagged.join(near.drop("rep"), ["h1", "h2"]).select("nid", F.explode("hubs").alias("other")).where("nid <> other")
         extra = extra.select(F.least("nid", "other").alias("a"), F.greatest("nid", "other").alias("b"))
 
     # buckets above the limit, counted with sums inside the tasks
@@ -283,7 +287,11 @@ def near_pairs(base: DataFrame, k: int = 5, min_cos: float = 0.92, dim: int = 64
     sent = work.select("nid", "vec").mapInArrow(emit, "bucket long, cell int, nid long, s0 long, s1 long, vec binary")
     pairs = sent.repartition("bucket", "cell").sortWithinPartitions("bucket", "cell").mapInArrow(groups, "a long, b long")
     if extra is not None:
-        pairs = pairs.unionByName(extra)
+        met = materialize(pairs.distinct(), "met")
+        ways = met.unionByName(met.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        outside = ways.join(near.select(F.col("rep").alias("b"), "hubs"), "b").select("a", F.explode("hubs").alias("b"))
+        outside = outside.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        pairs = met.unionByName(extra).unionByName(outside)
     pairs = materialize(pairs.distinct(), "candidates")
     return _ranked(base, pairs, k, min_cos, dim)
 

@@ -68,6 +68,23 @@ def test_many_copies(spark):
     assert len(p) < 300 * 300 / 4
 
 
+@pytest.mark.parametrize("copies", [20, 128])
+def test_rows_near_many_copies(spark, copies):
+    """A row outside of a group of copies has k of them as its nearest, as if the group were small: exactly brute force, ties by id."""
+    g = np.random.default_rng(5)
+    x = g.normal(size=(400, 64)).astype(np.float32)
+    x[:40] = x[0]
+    x[40:80] = x[0] + 0.2 * np.linalg.norm(x[0]) * g.normal(size=64) / 8  # a second group near the first
+    x[80:84] = x[0] + 0.25 * np.linalg.norm(x[0]) * g.normal(size=(4, 64)) / 8  # single rows near both
+    x = x[g.permutation(400)]  # so that the order of ids isn't the order of groups
+    u = x / np.linalg.norm(x, axis=1, keepdims=True).astype(np.float64)
+    s = np.round(u @ u.T, 9)
+    np.fill_diagonal(s, -2)
+    want = {(f"k{i:05d}", f"k{j:05d}") for i, r in enumerate(s) for j in np.argsort(-r, kind="stable")[:5] if r[j] >= 0.92}
+    p = vectors.near_pairs(vectors.usable(frame(spark, x), "k"), copies=copies).toPandas()
+    assert set(zip(p.id_a, p.id_b)) == want and len(want) == 84 * 5
+
+
 def test_hot_bucket(spark):
     g = np.random.default_rng(4)
     x = g.normal(size=(900, 64))
