@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from docloom.runtime import materialize
 
-_TAG = re.compile(r"<\s*/?\s*(?:br|p|div|li|tr|td)\b[^<>]{0,40}>", re.I)
+_TAG = re.compile(r"<\s*/?\s*(?:br|p|div|li|tr|td)\b[^<>]*>", re.I)
 _BREAK = frozenset("\t\n\r\x0b\x0c\x85  ")
 _SPACE = re.compile(r"\s+")
 # Quotes, the opening one before the closing one.

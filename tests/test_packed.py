@@ -32,6 +32,12 @@ def test_rules(field):
     assert packed.parse(field) == CASES[field]
 
 
+def test_long_tags_are_line_breaks():
+    style = "style=\"text-align: center; font-family: 'Batang', serif; border: 1px solid; padding: 2px\""
+    assert packed.parse(f"<td {style}>누락</td><td {style}>가공 거래</td>") == ["누락", "가공 거래"]
+    assert packed.parse("a<p" + " x" * 5000) == ["a", "p" + " x" * 5000]  # no tag without its end
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="가나 a1,./;|'\"\\()[]-·\n\t%「」①<br>", max_size=40))
 def test_any_text_parses(s):
