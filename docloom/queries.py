@@ -835,7 +835,7 @@ def table_files(spark, d):
 
 @query
 def question_plans(spark, d):
-    """Finding items as questions: cleaned in a batch; intent and script by the same functions that a single question gets."""
+    """Finding items as questions: cleaned in a batch, and their script, by the same functions that a single question gets; no intent."""
     q = records(spark, d, "findings").select("finding_id", F.concat(F.coalesce("item", F.lit("")), F.lit(" 사례를 알려줘")).alias("q"))
     return q.select("finding_id", tx.preprocess_query("q").alias("plain"), tx.script_of("q").alias("script"))
 
