@@ -41,7 +41,7 @@ def test_long_tags_are_line_breaks():
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="가나 a1,./;|'\"\\()[]-·\n\t%「」①<br>", max_size=40))
 def test_any_text_parses(s):
-    for _, v in packed.parses(s):
+    for _, _, v in packed.readings(s):
         assert all(x and x == x.strip() and x != "-" for x in v)
 
 
@@ -51,14 +51,60 @@ def test_quoted_values_come_back(values):
     assert packed.parse(";".join('"' + v + '"' for v in values)) == values
 
 
-def test_dialect_of_least_length(spark):
-    # an apostrophe pair around a known value is a quote; the values are known from other rows
-    rows = [("t", f"r{i}", 0, s) for i, s in enumerate(["갑; 을", "'갑; 을'|병", "병", '"갑; 을",병', "병|정", "정"])]
-    got = packed.unpack(spark.createDataFrame(rows, "tbl string, row_key string, elem int, s string")).orderBy("row_key", "pos").collect()
-    by = {}
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="가나 a1,./;|'\"\\()[]-·\n\t%「」①2)<br>", max_size=30))
+def test_readings_are_the_allowed_ones_of_all_dialects(s):
+    # no dialect that leaves nothing parting in a value and overlooks nothing clear reads anything shorter or else
+    full = packed.read(s, packed.FULL)
+    clear = {q for q, sure in full.pairs if sure}
+    got = {tuple(v): b for _, b, v in packed.readings(s)}
+    assert tuple(full.values) in got
+    for d in packed.DIALECTS:
+        p = packed.read(s, d)
+        if not p.left and d.lists and clear <= set(packed.QUOTES[d.quotes][::2]) and not any(not sure for _, sure in full.pairs):
+            assert got[tuple(p.values)] <= p.bits(d)
+
+
+F_SCHEMA = "tbl string, row_key string, elem int, s string"
+
+
+def _unpacked(spark, fields):
+    rows = [("t", f"r{i}", 0, s) for i, s in enumerate(fields)]
+    got = packed.unpack(spark.createDataFrame(rows, F_SCHEMA)).orderBy("row_key", "pos").collect()
+    kinds = {int(r.row_key[1:]): (r.kind, r.quotes, r.lists) for r in packed.dialects(spark.createDataFrame(rows, F_SCHEMA)).collect()}
+    by = {i: [] for i in range(len(fields))}
     for r in got:
-        by.setdefault(r.row_key, []).append(r.val)
-    assert by["r1"] == ["갑; 을", "병"] and by["r3"] == ["갑; 을", "병"] and by["r0"] == ["갑", "을"]
+        by[int(r.row_key[1:])].append(r.val)
+    return by, kinds
+
+
+def test_dialect_of_least_length(spark):
+    by, kinds = _unpacked(spark, ["갑; 을", "'갑; 을'|병", "병", '"갑; 을",병', "병|정, 무", "가. 정 나. 무"])
+    assert by == {0: ["갑", "을"], 1: ["갑; 을", "병"], 2: ["병"], 3: ["갑; 을", "병"], 4: ["병", "정", "무"], 5: ["정", "무"]}
+    assert [kinds[i][0] for i in (0, 1, 3, 4)] == ["semicolon", "bar", "comma", "all"]
+    assert kinds[5][2] and not kinds[0][2]
+
+
+def test_frequencies_choose_quotes(spark):
+    # the quotes around both are apostrophes of years where the years are known, and quotes where the whole is
+    years = ["'90s, '80s'", *["90s", "80s"] * 40]
+    by, kinds = _unpacked(spark, years)
+    assert by[0] == ["90s", "80s"] and kinds[0][1] == "double"
+    by, kinds = _unpacked(spark, ["'90s, '80s'", *["'90s, '80s'"] * 40])
+    assert by[0] == ["90s, '80s"] and kinds[0][1] == "all"
+
+
+def test_frequencies_choose_lists(spark):
+    by, kinds = _unpacked(spark, ["현장 2) 지점", *["현장 2", "지점"] * 40])
+    assert by[0] == ["현장 2", "지점"] and not kinds[0][2]
+    by, kinds = _unpacked(spark, ["현장 2) 지점", *["현장", "지점"] * 40])
+    assert by[0] == ["현장", "지점"] and kinds[0][2]
+
+
+def test_rare_quoted_values_stay_whole(spark):
+    # what is clear by the rules is no matter of frequency
+    by, _ = _unpacked(spark, ['"갑; 을",병', *["갑", "을"] * 200])
+    assert by[0] == ["갑; 을", "병"]
 
 
 T0, T1 = dt.datetime(2020, 1, 1), dt.datetime(2020, 2, 1)
