@@ -319,10 +319,12 @@ def unpack(fields: DataFrame) -> DataFrame:
     row_key, elem) is expected once. An empty table gives no rows.
     """
     read_ = materialize(_read_all(fields.where("row_key is not null and s is not null")), "fields")
-    settled = read_.where("s is null").select("tbl", "row_key", "elem", "vals")
-    rest = read_.where("s is not null").select("tbl", "row_key", "elem", "s").join(choose(read_).select("s", "vals"), "s").select("tbl", "row_key", "elem", "vals")
+    done = read_.where("s is null").select("tbl", "row_key", "elem", "vals")
+    several = read_.where("s is not null").select("tbl", "row_key", "elem", "s")
+    if not several.isEmpty():  # else there is nothing to choose
+        done = done.unionByName(several.join(choose(read_).select("s", "vals"), "s").select("tbl", "row_key", "elem", "vals"))
     # one field's strings come together; what a field holds is bounded by its row
-    rows = settled.unionByName(rest).where("size(vals) > 0").groupBy("tbl", "row_key").agg(F.array_sort(F.collect_list(F.struct("elem", "vals"))).alias("e"))
+    rows = done.where("size(vals) > 0").groupBy("tbl", "row_key").agg(F.array_sort(F.collect_list(F.struct("elem", "vals"))).alias("e"))
     rows = rows.select("tbl", "row_key", F.flatten(F.transform("e", lambda x: x["vals"])).alias("vals"), F.exists("e", lambda x: F.size(x["vals"]) > 1).alias("packed"))
     return rows.select("tbl", "row_key", "packed", F.posexplode("vals").alias("p", "val")).select("tbl", "row_key", (F.col("p") + 1).alias("pos"), "val", "packed")
 
@@ -330,8 +332,10 @@ def unpack(fields: DataFrame) -> DataFrame:
 def dialects(fields: DataFrame) -> DataFrame:
     """``tbl``, ``row_key``, ``elem``, ``kind``, ``quotes``, ``lists``: the dialect each field is read with."""
     read_ = materialize(_read_all(fields.where("row_key is not null and s is not null")), "fields")
-    rest = read_.where("s is not null").select("tbl", "row_key", "elem", "s").join(choose(read_).select("s", "dialect"), "s").select("tbl", "row_key", "elem", "dialect")
-    got = read_.where("s is null").select("tbl", "row_key", "elem", "dialect").unionByName(rest)
+    got = read_.where("s is null").select("tbl", "row_key", "elem", "dialect")
+    several = read_.where("s is not null").select("tbl", "row_key", "elem", "s")
+    if not several.isEmpty():
+        got = got.unionByName(several.join(choose(read_).select("s", "dialect"), "s").select("tbl", "row_key", "elem", "dialect"))
     names = F.array(*[F.struct(F.lit(d.kind).alias("kind"), F.lit(d.quotes).alias("quotes"), F.lit(d.lists).alias("lists")) for d in DIALECTS])
     return got.withColumn("d", F.get(names, F.col("dialect"))).select("tbl", "row_key", "elem", "d.kind", "d.quotes", "d.lists")
 
