@@ -13,7 +13,7 @@ n log n in their length.
 from __future__ import annotations
 
 import base64
-import heapq
+import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -34,7 +34,11 @@ _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 def load_ranks(path: str = DEFAULT_RANKS) -> dict[bytes, int]:
     with open(path, "rb") as f:
-        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        return parse_ranks(f.read())
+
+
+def parse_ranks(data: bytes) -> dict[bytes, int]:
+    return {base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines())}
 
 
 class PairTable:
@@ -62,7 +66,6 @@ class PairTable:
             put = free & first
             self.keys[slot[put]], self.vals[slot[put]] = k[put], v[put]
             k, v, slot = k[~put], v[~put], (slot[~put] + 1) & self.mask
-        self.one = dict(zip(keys, vals))
 
     def _slot(self, k: np.ndarray) -> np.ndarray:
         return ((k.astype(np.uint64) * _MULT) >> self.shift).astype(np.int64)
@@ -174,27 +177,35 @@ class Bpe:
         return at, out
 
     def _long(self, word: bytes) -> np.ndarray:
-        one, base = self.pairs.one, self.pairs.base
-        ids = self.byte[np.frombuffer(word, np.uint8)].tolist()
-        n = len(ids)
-        nxt, prv = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := one.get(ids[i] * base + ids[i + 1])) is not None]
-        heapq.heapify(heap)
-        while heap:
-            r, i, a, b = heapq.heappop(heap)
-            j = nxt[i]
-            if ids[i] != a or j >= n or ids[j] != b:
-                continue
-            ids[i], ids[j], k = r, -1, nxt[j]
-            nxt[i] = k
-            if k < n:
-                prv[k] = i
-                if (q := one.get(r * base + ids[k])) is not None:
-                    heapq.heappush(heap, (q, i, r, ids[k]))
-            if (p := prv[i]) >= 0 and (q := one.get(ids[p] * base + r)) is not None:
-                heapq.heappush(heap, (q, p, ids[p], r))
-        a = np.array(ids, np.int32)
-        return a[a >= 0]
+        ids = self.byte[np.frombuffer(word, np.uint8)]
+        rank = self.pairs.get(ids[:-1], ids[1:])
+        while len(rank):
+            best = rank.min()
+            if best == NONE:
+                break
+            at = np.flatnonzero(rank == best)
+            run = np.flatnonzero(np.diff(at, prepend=-2) != 1)  # overlapping pairs: of each run every other one
+            at = at[(np.arange(len(at)) - np.repeat(run, np.diff(np.append(run, len(at))))) % 2 == 0]
+            if len(at) > 1 and self._early(ids, at, best):
+                at = at[:1]
+            keep = np.ones(len(ids), bool)
+            keep[at + 1] = False
+            ids[at] = best
+            moved = (np.cumsum(keep) - 1)[at]
+            ids, rank = ids[keep], rank[keep[1:]]  # the rank of a pair stays with its right member
+            near = np.unique(np.concatenate([moved - 1, moved]))
+            near = near[(near >= 0) & (near < len(ids) - 1)]
+            rank[near] = self.pairs.get(ids[near], ids[near + 1])
+        return ids
+
+    def _early(self, ids: np.ndarray, at: np.ndarray, best: int) -> bool:
+        """Whether merging the pairs at these places from left to right makes a pair of rank ``best`` or lower on the way."""
+        left, right = at - 1, at + 2
+        before = np.where(left >= 0, ids[np.maximum(left, 0)], -1)
+        before[1:][at[1:] - at[:-1] == 2] = best  # the pair before has been merged by then
+        after = np.where(right < len(ids), ids[np.minimum(right, len(ids) - 1)], -1)
+        made = np.full(len(at), best, np.int32)
+        return bool((self.pairs.get(before, made) <= best).any() or (self.pairs.get(made, after) <= best).any())
 
 
 class _Words(dict):
@@ -251,11 +262,19 @@ class Encoder:
 _ENCODERS: dict[tuple[str, str], Encoder] = {}
 
 
-def encoder(path: str, pattern: str = PATTERN) -> Encoder:
+def _shipped(df: DataFrame, path: str):
+    """The vocabulary file, read by the driver and broadcast: workers need no copy of their own. A vocabulary has a fixed size."""
+    with open(path, "rb") as f:
+        data = f.read()
+    return df.sparkSession.sparkContext.broadcast((hashlib.sha256(data).hexdigest(), data))
+
+
+def encoder(shipped, pattern: str = PATTERN) -> Encoder:
     """The worker's encoder for a vocabulary; made once a Python worker."""
-    if (path, pattern) not in _ENCODERS:
-        _ENCODERS[path, pattern] = Encoder(load_ranks(path), pattern)
-    return _ENCODERS[path, pattern]
+    name, data = shipped.value
+    if (name, pattern) not in _ENCODERS:
+        _ENCODERS[name, pattern] = Encoder(parse_ranks(data), pattern)
+    return _ENCODERS[name, pattern]
 
 
 def slices(texts: pa.Array, most: int = 4 << 20) -> Iterator[tuple[int, int]]:
@@ -282,8 +301,10 @@ def encode_column(df: DataFrame, key: str = "doc_id", text: str = "text", ranks:
     src = df.select(F.col(key), F.col(text).cast("string").alias("__t"))
     schema = f"`{key}` {src.schema[key].dataType.simpleString()}, ids array<int>"
 
+    shipped = _shipped(df, ranks)
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(ranks)
+        enc = encoder(shipped)
         for b in batches:
             for lo, hi in slices(b.column(1)):
                 ids, off = enc.encode(b.column(1)[lo:hi].to_pylist())
@@ -298,8 +319,10 @@ def count_column(df: DataFrame, key: str = "doc_id", text: str = "text", ranks:
     src = df.select(F.col(key), F.col(text).cast("string").alias("__t"))
     schema = f"`{key}` {src.schema[key].dataType.simpleString()}, n_tokens long"
 
+    shipped = _shipped(df, ranks)
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(ranks)
+        enc = encoder(shipped)
         for b in batches:
             for lo, hi in slices(b.column(1)):
                 n = enc.lengths(b.column(1)[lo:hi].to_pylist())

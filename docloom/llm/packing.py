@@ -4,7 +4,8 @@ Every task best-fits the items it holds, largest first, and emits the bins that
 ``full``. The underfull bins go on as items (their content stays together), are dealt anew to a quarter as
 many tasks and best-fitted again, and so on up the tree. The last rounds hold at most ``group`` underfull
 bins in a task: the number of tasks of a round follows from the number of bins left, so no task grows with
-the corpus.
+the corpus. The tree ends when a round no longer saves a thousandth of its bins. What comes out depends on the items
+alone, not on cores or partitions.
 """
 
 from __future__ import annotations
@@ -61,21 +62,21 @@ def _round(capacity: int, full: float, name: str):
     return run
 
 
-def pack(items: DataFrame, item: str = "item", size: str = "size", capacity: int = CAPACITY, full: float = 0.99, group: int = 100_000, fan_in: int = 4) -> DataFrame:
+def pack(items: DataFrame, item: str = "item", size: str = "size", capacity: int = CAPACITY, full: float = 0.99, group: int = 100_000, fan_in: int = 4, leaf: int = 4000, gain: float = 0.001) -> DataFrame:
     """Pack unsplittable items into bins of ``capacity``.
 
     Returns ``item`` (string), ``size``, ``bin`` (string) and ``fill`` (sum of the bin's sizes), one row for each row
     with a size above zero; null and non-positive sizes and null items stay out. Equal sizes are taken in
     order of the item, and items are expected to be unique. Sizes above the capacity must have been split
-    (:func:`pack_documents` does so).
+    (:func:`pack_documents` does so). The first round has a task for ``leaf`` items, up to 64 tasks, and at most ``group`` items in
+    each; rounds go on until one saves less than the share ``gain`` of its bins.
     """
-    spark = items.sparkSession
     base = materialize(items.select(F.col(item).cast("string").alias("item"), F.col(size).cast("long").alias("size")).where("size > 0 and item is not null"), "pack-items")
     schema = "item string, bin string, fill long, done boolean"
     n = base.count()
     if not n:
         return base.select("item", "size", F.lit("").alias("bin"), F.lit(0).cast("long").alias("fill"))
-    tasks = max(-(-n // group), min(spark.sparkContext.defaultParallelism, -(-n // 4000)))
+    tasks = max(-(-n // group), min(64, -(-n // leaf)))
     closed: list[DataFrame] = []
     waiting, where = base, None  # underfull bins as items; the bin that each item without a closed bin is in
     r = 0
@@ -89,15 +90,12 @@ def pack(items: DataFrame, item: str = "item", size: str = "size", capacity: int
         bins = fitted.where("not done").groupBy("bin").agg(F.first("fill").alias("size"))
         m = bins.count()
         least = max(1, -(-m // group))
-        if m <= 1 or (tasks <= least and (r == 0 or m >= n)):
+        if m <= 1 or (tasks <= least and (r == 0 or m > (1 - gain) * n)):
             closed.append(placed)
             break
         closed.append(placed.where("done"))
         where, waiting = placed.where("not done").select("item", "bin"), bins.select(F.col("bin").alias("item"), "size")
         n, tasks, r = m, max(least, tasks // fan_in), r + 1
-        if tasks == least and r > 12:
-            closed.append(placed.where("not done"))
-            break
     out = closed[0]
     for c in closed[1:]:
         out = out.unionByName(c)

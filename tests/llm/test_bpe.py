@@ -42,6 +42,33 @@ def test_any_text(enc, oracle, texts):
     check(enc, oracle, texts)
 
 
+def one_at_a_time(ranks, word):
+    """Brute force: the leftmost pair of lowest rank, until there is none."""
+    parts = [bytes([b]) for b in word]
+    while True:
+        r, i = min(((ranks.get(a + b, 1 << 30), i) for i, (a, b) in enumerate(zip(parts, parts[1:]))), default=(1 << 30, 0))
+        if r == 1 << 30:
+            return [ranks[p] for p in parts]
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.permutations(["ab", "ba", "aba", "bab", "aab", "abab", "cc", "cab", "abc"]), st.text("abc", max_size=40))
+def test_long_rows_by_any_ranks(order, text):
+    # ranks in any order, so that merges may make pairs that come first
+    ranks = {bytes([i]): i for i in range(256)} | {t.encode(): 256 + i for i, t in enumerate(order)}
+    b = bpe.Bpe(ranks)
+    want = one_at_a_time(ranks, text.encode())
+    assert b._long(text.encode()).tolist() == want
+    assert b.encode_words([text.encode()])[0].tolist() == want
+
+
+def test_a_very_long_row(enc, oracle):
+    g = np.random.default_rng(4)
+    word = "".join(g.choice(list("가나다라마바사아자차카타파하의은는이를"), 40_000).tolist())
+    check(enc, oracle, [word, "a" * 30_001])
+
+
 def test_long_rows_and_matrices_agree(enc):
     g = np.random.default_rng(0)
     for n in (5, 17, 64, 300, 2000):
