@@ -2,20 +2,26 @@
 
 A gear hash rolls over the code points; where its lowest bits are zero lies a landmark. From the last cut
 on, the first landmark between the least and the greatest size is taken and snapped to the nearest natural
-boundary (end of a paragraph, line or sentence; else a gap between words; else the landmark itself). Where
+boundary of that window (end of a paragraph, line or sentence; else a gap between words; else the landmark itself). Where
 the window holds no landmark, its last natural boundary is cut at. A cut depends only on the text near it
-and on the cut before, so an edit changes the pieces around it and the later cuts fall into step again.
+and on the cut before, so an edit changes the pieces around it and the later cuts fall into step again. No piece's own
+part but the last is below the least size.
+
+Spans of lines are cut likewise: where the lines' text is given, a line whose hash has its lowest bits zero is a landmark, and
+blank lines and lines before a heading are natural boundaries. Where it isn't, all lines are alike: then cuts lie at fixed
+distances from the span's first line, so that lines that come or go above it move none, and snap to the sections that begin in it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Unicode's White_Space property, as a character class for Java and Python.
@@ -93,14 +99,12 @@ def cut_points(text: str, limits: Limits = Limits()) -> list[int]:
         goal = int(mark[0]) if len(mark) else hi
         for kind in (natural, gaps):
             near = between(kind, lo, hi)
-            if not len(near):
-                near = between(kind, s + 1, hi)[-1:]  # only before the least size
             if len(near):
                 e = int(near[np.abs(near - goal).argmin()])
                 break
         else:
             e = goal
-            while e > s + 1 and e < n and combining.match(text[e]):
+            while e > lo and e < n and combining.match(text[e]):
                 e -= 1
         cuts.append(e)
         s = e
@@ -151,8 +155,11 @@ def split_texts(df: DataFrame, key: str, text: str, order: str | None = None, li
     return src.mapInArrow(run, PIECES)
 
 
-def span_pieces(start: int, end: int, most: int = 120, overlap: int = 10, least: int = 60, bits: int = 5) -> Iterator[tuple[int, int, int]]:
-    """(first line, first own line, last line) of each piece of a span of lines; landmarks are lines by a hash of their number."""
+def span_pieces(start: int, end: int, most: int = 120, overlap: int = 10, least: int = 60, marks: Sequence[int] = (), natural: Sequence[int] = ()) -> Iterator[tuple[int, int, int]]:
+    """(first line, first own line, last line) of each piece of a span of lines.
+
+    ``marks`` are the landmark lines and ``natural`` the lines after which a cut is natural, both in order.
+    """
     at, before = start, None
     while True:
         first = at if before is None else max(before, at - overlap)
@@ -160,23 +167,45 @@ def span_pieces(start: int, end: int, most: int = 120, overlap: int = 10, least:
         if hi >= end:
             yield first, at, end
             return
-        last = next((x for x in range(at + least - 1, hi + 1) if (x * 0x9E3779B97F4A7C15 & (2**64 - 1)) >> (64 - bits) == 0), hi)
+        lo = at + least - 1
+        mark = bisect_left(marks, lo)
+        goal = marks[mark] if mark < len(marks) and marks[mark] <= hi else hi
+        near = natural[bisect_left(natural, lo) : bisect_right(natural, hi)]
+        last = min(near, key=lambda x: (abs(x - goal), x)) if near else goal
         yield first, at, last
         before, at = first, last + 1
 
 
+def line_marks(lines: DataFrame, key: str, line_no: str = "line_no", line: str = "line", bits: int = 5) -> DataFrame:
+    """``row_key``, ``marks`` and ``natural`` (arrays of line numbers) of the lines of each key, by their text."""
+    text = F.coalesce(F.trim(F.col(line)), F.lit(""))
+    nxt = F.lead(text).over(Window.partitionBy(key).orderBy(line_no))
+    one = lines.select(F.col(key).cast("string").alias("row_key"), F.col(line_no).cast("long").alias("n"), (text == "").alias("blank"), nxt.startswith("#").alias("last"), (F.pmod(F.xxhash64(text), F.lit(1 << bits)) == 0).alias("mark"))
+    one = one.withColumns({"mark": F.col("mark") & ~F.col("blank"), "natural": F.col("blank") | F.coalesce("last", F.lit(False))}).where("row_key is not null and (mark or natural)")
+    return one.groupBy("row_key").agg(F.array_sort(F.collect_list(F.when(F.col("mark"), F.col("n")))).alias("marks"), F.array_sort(F.collect_list(F.when(F.col("natural"), F.col("n")))).alias("natural"))
+
+
 SPANS = "row_key string, span_no int, piece_no int, start long, own_start long, end long"
 
 
-def split_spans(df: DataFrame, key: str, spans: str, most: int = 120, overlap: int = 10) -> DataFrame:
+def split_spans(df: DataFrame, key: str, spans: str, most: int = 120, overlap: int = 10, lines: DataFrame | None = None) -> DataFrame:
     """Pieces of every span of more than ``most`` lines; ``span_no`` is its place in the array, from 1.
 
-    Spans without start or end, and those that end before they start, give no row, nor do null keys, arrays
+    ``lines`` (the key, line_no, line) are the texts of the lines of each key's document, where they are known. Spans without
+    start or end, and those that end before they start, give no row, nor do null keys, arrays
     and spans. Repeated rows count once.
     """
-    src = df.select(F.col(key).cast("string").alias("row_key"), F.posexplode(spans).alias("i", "s")).where("row_key is not null")
-    src = src.select("row_key", (F.col("i") + 1).alias("span_no"), F.col("s.start_line").cast("long").alias("a"), F.col("s.end_line").cast("long").alias("b"))
+    begins = F.array_sort(F.array_compact(F.transform(spans, lambda x: x["start_line"].cast("long") - 1)))  # a section may end before another begins
+    src = df.select(F.col(key).cast("string").alias("row_key"), begins.alias("natural"), F.posexplode(spans).alias("i", "s")).where("row_key is not null")
+    src = src.select("row_key", (F.col("i") + 1).alias("span_no"), F.col("s.start_line").cast("long").alias("a"), F.col("s.end_line").cast("long").alias("b"), "natural")
     src = src.where(F.col("b") - F.col("a") + 1 > most).distinct()
+    if lines is not None:
+        by = line_marks(lines, key).withColumnRenamed("natural", "more")
+        none = F.array().cast("array<bigint>")
+        both = F.array_sort(F.array_union("natural", F.coalesce("more", none)))
+        src = src.join(by, "row_key", "left").select("row_key", "span_no", "a", "b", both.alias("natural"), F.coalesce("marks", none).alias("marks"))
+    else:
+        src = src.withColumn("marks", F.array().cast("array<bigint>"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def batch(rows):
@@ -185,8 +214,8 @@ def split_spans(df: DataFrame, key: str, spans: str, most: int = 120, overlap: i
 
         rows = []
         for b in batches:
-            for k, no, x, y in zip(*(c.to_pylist() for c in b.columns)):
-                for i, p in enumerate(span_pieces(x, y, most, overlap), 1):
+            for k, no, x, y, natural, marks in zip(*(c.to_pylist() for c in b.columns)):
+                for i, p in enumerate(span_pieces(x, y, most, overlap, most // 2, marks, natural), 1):
                     rows.append((k, no, i, *p))
                     if len(rows) >= 10_000:
                         yield batch(rows)

@@ -21,6 +21,9 @@ def check(text, limits=L):
             starts = [m.start() for m in sp.WORD.finditer(before)]
             words = before[starts[-limits.overlap_words] :] if len(starts) >= limits.overlap_words else before
             assert piece[: b - a] == min(words, before[-limits.overlap_chars :], key=len)
+        if i < len(p) - 1:  # the own part isn't below the least size, but where nothing larger fits
+            own = text[b:e]
+            assert len(own) >= limits.least_chars or len(sp.WORD.findall(own)) >= limits.least_words
         at = e
     assert at == len(text)
     return p
@@ -40,6 +43,11 @@ def test_any_text(text):
     check(text, sp.Limits(20, 120, 3, 20, 6, 30, 3))
 
 
+def test_a_short_first_line_is_no_piece():
+    p = check("Title line.\n" + "word " * 3000)
+    assert p[0][2] >= 300 * 5
+
+
 def test_cuts_are_natural_where_they_can_be():
     text = SENTENCE * 400
     assert all(text[:e].endswith(". ") for _, _, e in sp.pieces(text))
@@ -60,6 +68,33 @@ def test_spans():
     assert all(e - f + 1 <= 120 for f, _, e in got)
 
 
+def _lines(n):
+    return [("" if i % 17 == 16 else f"# 제 {i} 절" if i % 61 == 60 else f"{i * 7919 % 1009} 번 거래를 대조하였다") for i in range(n)]
+
+
+def test_lines_that_come_in_move_only_pieces_near_them(spark):
+    def contents(lines, first):
+        doc = ["머리"] * (first - 1) + lines
+        spans = spark.createDataFrame([("f", [("s", first, len(doc))])], "finding_id string, section_spans array<struct<name:string,start_line:int,end_line:int>>")
+        table = spark.createDataFrame([("f", i, x) for i, x in enumerate(doc, 1)], "finding_id string, line_no int, line string")
+        p = sp.split_spans(spans, "finding_id", "section_spans", lines=table).orderBy("piece_no").collect()
+        assert all(r.end - r.start + 1 <= 120 for r in p) and all(r.end - r.own_start + 1 >= 60 for r in p[:-1])
+        return [tuple(doc[r.start - 1 : r.end]) for r in p]
+
+    base = _lines(900)
+    a = contents(base, 5)
+    assert len(a) > 7 and contents(base, 6) == a  # a line above the span changes nothing
+    b = contents(base[:300] + ["새 줄"] + base[300:], 5)
+    assert len(set(a) - set(b)) <= 3
+    assert all(x[-1] == "" or not x[-1].startswith("#") for x in a)
+
+
+def test_spans_without_texts_are_cut_by_their_own_lines():
+    a = [(f - 30, o - 30, e - 30) for f, o, e in sp.span_pieces(30, 1000)]
+    assert a == [(f - 31, o - 31, e - 31) for f, o, e in sp.span_pieces(31, 1001)]
+    assert [e for _, _, e in sp.span_pieces(1, 300, natural=[90, 200])][:2] == [90, 200]
+
+
 T = dt.datetime(2020, 1, 1)
 
 
