@@ -1,11 +1,12 @@
 """One form for texts that look the same but are written in other characters.
 
-``relations`` says which strings and code points look alike: compatibility and width forms and canonical
-(de)compositions as Unicode defines them, letters of other alphabets that look like Latin ones, kinds of
-blank, hyphen and middle dot, and characters that can't be seen, which look like nothing. Union-find
-makes the relation transitive. Of each class the member that is most frequent in the corpus stands for
-all, and an Aho-Corasick automaton over the other members rewrites texts greedily, the leftmost longest match
-first, until nothing changes.
+``relations`` says which two strings or code points look alike, each pair for itself: a code point and what Unicode says it is
+made of (one step of its decomposition, canonical or of compatibility), two neighbours in a row of letters that look like a Latin one,
+two kinds of blank, hyphen or middle dot, and a character that can't be seen and nothing. Union-find makes
+the relation transitive, also inside strings: two strings are alike if their letters are. Of each class the member that is most
+frequent in the corpus stands for all, and an Aho-Corasick automaton over the other members rewrites texts greedily, the leftmost
+longest match first, until nothing changes. Two kinds of member can't stand for a class, as what they are part of would not come out
+in one form: a sign for several letters (the letters stand for it), and a letter taken apart (marks compose as Unicode says).
 
 Letter case, digits, ordinary spaces and line breaks keep making a difference.
 """
@@ -14,7 +15,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-import sys
 import unicodedata
 import uuid
 from collections import defaultdict
@@ -48,29 +48,32 @@ def _in(c: int, ranges: list[tuple[int, int]]) -> bool:
 
 
 @lru_cache(1)
-def _single() -> dict[str, str]:
-    """What a code point looks like, where the relation gives that for the code point itself."""
+def _rows() -> dict[str, str]:
+    """Each look-alike with its neighbour in its row."""
     out = {}
-    for word in re.findall(r"(\S) (\S+)", LATIN_ALIKE):
-        out |= dict.fromkeys(word[1], word[0])
-    for same in (HYPHENS, DOTS, BLANKS):
-        out |= dict.fromkeys(same[1:], same[0])
+    for row in (*(a + b for a, b in re.findall(r"(\S) (\S+)", LATIN_ALIKE)), HYPHENS, DOTS, BLANKS):
+        for one, other in zip(row[1:], row):
+            if one != other:
+                out.setdefault(one, other)
     return out
 
 
-def looks(c: str) -> str:
-    """What a string looks like: the relation applied to it until it says nothing more."""
-    single, was = _single(), None
-    while c != was:
-        was = c
-        parts = []
-        for x in unicodedata.normalize("NFD", c):
-            o = ord(x)
-            if _in(o, INVISIBLE) or (unicodedata.category(x) == "Cf" and not _in(o, VISIBLE_CF)):
-                continue
-            parts.append(single[x] if x in single else unicodedata.normalize("NFKD", x))
-        c = "".join(parts)
-    return unicodedata.normalize("NFC", c)
+def _unseen(x: str) -> bool:
+    return _in(ord(x), INVISIBLE) or (unicodedata.category(x) == "Cf" and not _in(ord(x), VISIBLE_CF))
+
+
+def _made_of(x: str) -> str:
+    """One step of the decomposition of a code point; empty if it has none."""
+    if "가" <= x <= "힣":
+        d = unicodedata.normalize("NFD", x)
+        return d if len(d) == 2 else unicodedata.normalize("NFC", d[:2]) + d[2]
+    d = unicodedata.decomposition(x)
+    return "".join(chr(int(h, 16)) for h in d.split() if h[0] != "<")
+
+
+def _is_sign(x: str) -> bool:
+    """Whether it is one code point that stands for several by compatibility."""
+    return len(x) == 1 and len(unicodedata.normalize("NFKD", x)) > 1 and unicodedata.normalize("NFKC", x) != unicodedata.normalize("NFC", x)
 
 
 class Classes:
@@ -97,37 +100,43 @@ class Classes:
         return [sorted(g) for g in out.values() if len(g) > 1]
 
 
+@lru_cache(1)
+def _letters() -> list[tuple[str, str]]:
+    """The code points that several compose to, each with these."""
+    out = []
+    for o in range(0xA0, 0x1D200):
+        if 0x3400 <= o <= 0xABFF or 0xD7A4 <= o <= 0xF8FF:
+            continue
+        x = chr(o)
+        if 0xAC00 <= o <= 0xD7A3 or unicodedata.decomposition(x)[:1] not in ("", "<"):
+            nfd = unicodedata.normalize("NFD", x)
+            if len(nfd) > 1 and unicodedata.normalize("NFC", nfd) == x:
+                out.append((x, nfd))
+    return out
+
+
 def relations(seen: set[str]) -> Classes:
-    """Look-alike classes of the code points in ``seen`` and of the strings they compose and decompose to."""
-    c = Classes()
-    for x in sorted(seen):
-        y = looks(x)
-        if y != x:
+    """Look-alike classes of the code points in ``seen`` and of all that they are made of or compose to."""
+    c, done, todo = Classes(), set(), sorted(seen)
+    while todo:
+        x = todo.pop()
+        if x in done:
+            continue
+        done.add(x)
+        c.root(x)
+        near = [""] if _unseen(x) else [y for y in (_rows().get(x, ""), _made_of(x)) if y]
+        for y in near:
             c.union(x, y)
-        nfd = unicodedata.normalize("NFD", x)
-        if len(nfd) > 1:
-            c.union(x, nfd)
-    # strings that compose: a seen mark or Hangul vowel or final after what it composes with
-    marks = {m for x in seen for m in unicodedata.normalize("NFKD", x) if unicodedata.combining(m) or "ᅡ" <= m <= "ᇂ"}
+            todo += [z for z in y if z not in done]
+    # letters that compose of what is seen: a mark, or a Hangul vowel or final, after what it composes with
+    marks = {m for m in done if unicodedata.combining(m) or "ᅡ" <= m <= "ᇂ"}
     if marks:
-        for o in range(0xA0, sys.maxunicode + 1):
-            if 0x3400 <= o <= 0xABFF or 0xD7A4 <= o <= 0xF8FF or 0x20000 <= o <= 0x3FFFF or o > 0x1D1FF:
-                continue
-            x = chr(o)
-            d = unicodedata.decomposition(x)
-            if 0xAC00 <= o <= 0xD7A3:
-                d = unicodedata.normalize("NFD", x)
-                if not all(j in marks or j < "ᅡ" for j in d):
-                    continue
-                c.union(x, d)
-                if len(d) == 3:
-                    c.union(x, unicodedata.normalize("NFC", d[:2]) + d[2])
-            elif d and d[0] != "<":
-                nfd = unicodedata.normalize("NFD", x)
-                if all(m in marks for m in nfd[1:]) and unicodedata.normalize("NFC", nfd) == x:
-                    c.union(x, nfd)
-                    c.union(x, "".join(chr(int(h, 16)) for h in d.split()))
-                    c.union(x, looks(x))
+        for x, nfd in _letters():
+            if not marks.isdisjoint(nfd[1:]) and all(m in marks or m < "ᅡ" for m in nfd[1:]):
+                c.union(x, _made_of(x))
+                c.union(x, nfd)
+                if len(nfd) == 3:  # its marks in the other order
+                    c.union(x, unicodedata.normalize("NFC", nfd[0] + nfd[2]) + nfd[1])
     return c
 
 
@@ -135,27 +144,36 @@ class Rewriter:
     """Rewrites texts to one form, given how often each code point occurs in the corpus."""
 
     def __init__(self, counts: dict[int, int]):
-        seen = {chr(o) for o in counts}
+        total = max(1, sum(counts.values()))
 
         def frequency(s: str) -> tuple:
-            n = min((counts.get(ord(x), 0) for x in s), default=0)
+            """Occurrences, of a string those to expect of its code points; among equals the shorter, then the lower."""
+            n = float(total)
+            for x in s:
+                n *= counts.get(ord(x), 0) / total
             return n, -len(s), [-ord(x) for x in s]
 
         self.to: dict[str, str] = {}
-        classes = relations(seen)
-        for g in classes.groups():
+        classes = relations({chr(o) for o in counts})
+        for g in classes.groups():  # classes of single code points
             if "" in g:
-                best = ""
-            else:
-                settled = [x for x in g if looks(x) == x] if any(len(x) > 1 for x in g) else g
-                best = max(settled or g, key=frequency)
-            self.to |= {x: best for x in g if x != best and x}
-        # a letter whose base is written with another member of its class composes all the same
-        for x in list(classes.up):
-            if len(x) == 1 and len(nfd := unicodedata.normalize("NFD", x)) > 1:
-                written = "".join(self.to.get(c, c) for c in nfd)
-                if written != self.to.get(x, x):
-                    self.to.setdefault(written, self.to.get(x, x))
+                self.to |= {x: "" for x in g if x}
+            elif all(len(x) == 1 for x in g):
+                best = max(g, key=frequency)
+                self.to |= {x: best for x in g if x != best}
+
+        def written(s: str) -> str:
+            return unicodedata.normalize("NFC", "".join(self.to.get(x, x) for x in s))
+
+        for x in [x for x in classes.up if len(x) > 1]:  # strings whose letters are alike are alike
+            classes.union(x, "".join(self.to.get(y, y) for y in x))
+            classes.union(x, written(x))
+        for g in sorted(classes.groups(), key=lambda g: (max(len(unicodedata.normalize("NFD", x)) for x in g), g)):
+            if "" in g or all(len(x) == 1 for x in g):
+                continue
+            forms = {w for x in g if not _is_sign(x) for w in (written(x), x if len(x) == 1 else written(x))}
+            best = max((w for w in forms if written(w) == w), key=frequency, default=None) or max(forms, key=frequency)
+            self.to |= {x: best for x in {*g, *forms} if x != best}
         self.auto = ahocorasick.Automaton()
         for x, y in self.to.items():
             self.auto.add_word(x, (len(x), y))
@@ -164,8 +182,9 @@ class Rewriter:
         # a text without any of these has no match
         last = sorted({x[-1] for x in self.to})
         self.some = re.compile("[" + "".join(map(re.escape, last)) + "]").search if last else lambda t: None
-        # more than one mark in a row may stand in any order
-        self.marks = re.compile("[̀-ͯ҃-֑҇-ֽً-ٟ᪰-᫿᷀-᷿⃐-゙゚⃰︠-︯]{2}").search
+        # more than one mark on a letter may stand in any order
+        mark = "[̀-ͯ҃-֑҇-ֽً-ٟ᪰-᫿᷀-᷿⃐-゙゚⃰︠-︯]"
+        self.marks = re.compile(f"{mark}{{2}}|[À-ɏͰ-ӿḀ-῿]{mark}").search
 
     def __call__(self, text: str) -> str:
         if not self.some(text):
