@@ -329,3 +329,18 @@ def count_column(df: DataFrame, key: str = "doc_id", text: str = "text", ranks:
                 yield pa.RecordBatch.from_arrays([b.column(0)[lo:hi], pa.array(n, pa.int64())], names=[key, "n_tokens"])
 
     return spread(src).mapInArrow(run, schema)
+
+
+def decode_column(df: DataFrame, key: str = "doc_id", ids: str = "ids", ranks: str = DEFAULT_RANKS) -> DataFrame:
+    """``key`` and ``text``: the texts that the ids stand for. Null gives null, an empty list an empty text; ids without a token are an error."""
+    src = df.select(F.col(key), F.col(ids).cast("array<int>").alias("__i"))
+    schema = f"`{key}` {src.schema[key].dataType.simpleString()}, text string"
+    shipped = _shipped(df, ranks)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        token = {r: t for t, r in encoder(shipped).bpe.whole.items()}
+        for b in batches:
+            texts = [None if x is None else b"".join(map(token.__getitem__, x)).decode("utf-8", "surrogatepass") for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=[key, "text"])
+
+    return src.mapInArrow(run, schema)

@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docloom.runtime import materialize
+
 # Letters that look like the Latin letter before them.
 LATIN_ALIKE = """
 A АΑᎪꓮ  B ВΒᏴꓐ  C СϹᏟꓚ  D Ꭰꓓᗪ  E ЕΕᎬꓰ  F ꓝϜ  G ԌᏀꓖ  H НΗᎻꓧ  I ІΙӀꓲ  J ЈͿᎫꓙ  K КΚᏦꓗ  L ᏞꓡԼ
@@ -292,8 +294,6 @@ def pairs(df: DataFrame, key: str, text: str, order: str, counts: dict[int, int]
     texts are never paired with each other on the way: first the different spellings of a form are
     paired, then each spelling is replaced by its rows.
     """
-    from docloom.runtime import materialize
-
     rows = materialize(_digests(df, key, text, order, counts), "forms")
     spellings = rows.groupBy("form", "raw").agg(F.lit(1).alias("one"))
     several = spellings.groupBy("form").agg(F.count("*").alias("c")).where("c > 1").select("form")
@@ -306,6 +306,16 @@ def pairs(df: DataFrame, key: str, text: str, order: str, counts: dict[int, int]
     return out.select("key_a", "key_b")
 
 
+def classes(df: DataFrame, key: str, text: str, order: str, counts: dict[int, int]) -> DataFrame:
+    """``key``, ``cls`` (hash of the one form), ``spelling`` (hash of the text), ``n_rows`` and ``n_spellings`` of the class: one row a record.
+
+    The membership from which :func:`pairs` would list the pairs; copies aren't multiplied. Null keys and texts are in no class.
+    """
+    rows = materialize(_digests(df, key, text, order, counts), "forms")
+    sizes = rows.groupBy("form", "raw").agg(F.count("*").alias("n")).groupBy("form").agg(F.sum("n").alias("n_rows"), F.count("*").alias("n_spellings"))
+    return rows.join(sizes, "form").select("key", F.hex("form").alias("cls"), F.hex("raw").alias("spelling"), "n_rows", "n_spellings")
+
+
 NUMBER = r"^\s*[0-9]+[.)] +"
 
 
