@@ -202,7 +202,6 @@ def near_pairs(base: DataFrame, k: int = 5, min_cos: float = 0.92, dim: int = 64
         extra = tagged.join(near.drop("rep"), ["h1", "h2"]).select("nid", F.explode("hubs").alias("other")).where("nid <> other")
         extra = extra.select(F.least("nid", "other").alias("a"), F.greatest("nid", "other").alias("b"))
 
-    # buckets above the limit, counted with sums inside the tasks
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
@@ -211,13 +210,7 @@ def near_pairs(base: DataFrame, k: int = 5, min_cos: float = 0.92, dim: int = 64
                 for u, c in keys:
                     yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(c.astype(np.int64))], names=["bucket", "c"])
 
-    hot_rows: dict[int, int] = {}
-    if n > hot:  # no bucket of a smaller table can be hot
-        many = work.select("vec").mapInArrow(count, "bucket long, c long").groupBy("bucket").agg(F.sum("c").alias("c")).where(F.col("c") > hot)
-        hot_rows = {r.bucket: -(-r.c // BLOCK) for r in many.collect()}  # at most tables * probes * n / hot rows
-
     def emit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot_keys = np.array(sorted(hot_rows), np.int64)
         for b in batches:
             if not b.num_rows:
                 continue
@@ -225,26 +218,16 @@ def near_pairs(base: DataFrame, k: int = 5, min_cos: float = 0.92, dim: int = 64
             sk = _sketch(x, seed)
             for t in range(tables):
                 keys = _family(t, m, dim, probes, seed).buckets(x)
-                row = np.repeat(np.arange(len(x)), keys.shape[1])
-                flat = keys.ravel()
-                warm = np.isin(flat, hot_keys) if len(hot_keys) else np.zeros(len(flat), bool)
-                r, f = row[~warm], flat[~warm]
-                yield _rows(f, np.full(len(f), -1, np.int32), nid[r], sk[r, 0], sk[r, 1], None)
-                own = np.unique(np.stack([row[warm], flat[warm]], 1), axis=0) if warm.any() else np.empty((0, 2), np.int64)
-                for key in np.unique(own[:, 1]):
-                    rr, s = own[own[:, 1] == key, 0], hot_rows[int(key)]
-                    mine = (nid[rr] * 2654435761 >> 7) % s
-                    for j in range(s):
-                        cell = np.minimum(mine, j) * s + np.maximum(mine, j)
-                        yield _rows(np.full(len(rr), key), cell.astype(np.int32), nid[rr], mine.astype(np.int64), np.zeros(len(rr), np.int64), x[rr])
+                r = np.repeat(np.arange(len(x)), keys.shape[1])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(nid[r]), pa.array(sk[r, 0]), pa.array(sk[r, 1])], names=["bucket", "nid", "s0", "s1"])
 
     limits = _limits(min_cos)
 
-    def compare(cell: int, nid: np.ndarray, s: np.ndarray, vec: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        nid, first = np.unique(nid, return_index=True)
-        if cell < 0:
-            return _meet(nid, s[first], limits)
-        x, part = _floats(vec.take(pa.array(first)), dim), s[first, 0]
+    def blocks(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        """The k best of each row of two blocks of a hot bucket (of one, if the cell holds one), by exact cosine."""
+        nid, first = np.unique(t.column(2).to_numpy(), return_index=True)
+        take = pa.array(first)
+        x, part = _floats(t.column(4).combine_chunks().take(take), dim), t.column(3).to_numpy()[first]
         u = part == part.min()
         got = [_top(x[u], x[u if u.all() else ~u], nid[u], nid[u if u.all() else ~u], k, min_cos - 1e-5)]
         if not u.all():
@@ -252,16 +235,46 @@ def near_pairs(base: DataFrame, k: int = 5, min_cos: float = 0.92, dim: int = 64
         a, b = np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
         return np.minimum(a, b), np.maximum(a, b)
 
+    def sketches(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        nid, first = np.unique(t.column(2).to_numpy(), return_index=True)
+        return _meet(nid, np.stack([t.column(3).to_numpy()[first], t.column(4).to_numpy()[first]], 1), limits)
+
+    sent = work.select("nid", "vec").mapInArrow(emit, "bucket long, nid long, s0 long, s1 long")
+    large = None
+    if n > hot:  # no bucket of a smaller table can be hot
+        many = work.select("vec").mapInArrow(count, "bucket long, c long").groupBy("bucket").agg(F.sum("c").alias("c")).where(F.col("c") > hot)
+        many = materialize(many.select("bucket", F.ceil(F.col("c") / BLOCK).cast("int").alias("parts")), "hot-buckets")
+        if not many.isEmpty():
+            # every two blocks of a hot bucket meet in a cell; the sides of these joins are left to Spark's own size checks
+            parts = sent.select("bucket", "nid").join(many, "bucket").distinct().withColumn("part", F.pmod(F.xxhash64("nid"), F.col("parts")).cast("int"))
+            parts = parts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+            cell = (F.least("part", "other") * F.col("parts") + F.greatest("part", "other")).alias("cell")
+            large = parts.select("bucket", cell, "nid", F.col("part").cast("long").alias("part")).join(work.select("nid", "vec"), "nid").select("bucket", "cell", "nid", "part", "vec")
+            sent = sent.join(many.select("bucket"), "bucket", "left_anti")
+    sent = sent.select("bucket", F.lit(-1).alias("cell"), "nid", "s0", "s1")
+    pairs = sent.repartition("bucket").sortWithinPartitions("bucket", "cell").mapInArrow(_runs(sketches), "a long, b long")
+    if large is not None:
+        pairs = pairs.unionByName(large.repartition("bucket", "cell").sortWithinPartitions("bucket", "cell").mapInArrow(_runs(blocks), "a long, b long"))
+    if extra is not None:
+        met = materialize(pairs.distinct(), "met")
+        ways = met.unionByName(met.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        outside = ways.join(near.select(F.col("rep").alias("b"), "hubs"), "b").select("a", F.explode("hubs").alias("b"))
+        outside = outside.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        pairs = met.unionByName(extra).unionByName(outside)
+    pairs = materialize(pairs.distinct(), "candidates")
+    return _ranked(base, pairs, k, min_cos, dim)
+
+
+def _runs(compare):
+    """Compares each run of rows with one bucket and cell, the first two columns; the rows come sorted by these."""
+
     def groups(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Compares each run of rows with one bucket and cell; the rows come sorted by these."""
         held: list[pa.RecordBatch] = []
 
         def flush(t: pa.Table) -> pa.RecordBatch:
-            bucket, cell, nid = (t.column(i).to_numpy() for i in range(3))
-            s = np.stack([t.column(3).to_numpy(), t.column(4).to_numpy()], 1)
-            vec = t.column(5).combine_chunks() if t.num_rows else None
+            bucket, cell = (t.column(i).to_numpy() for i in range(2))
             edge = np.concatenate([[0], np.flatnonzero((np.diff(bucket) != 0) | (np.diff(cell) != 0)) + 1, [t.num_rows]])
-            out = [compare(int(cell[i]), nid[i:j], s[i:j], vec.slice(i, j - i)) for i, j in zip(edge[:-1].tolist(), edge[1:].tolist()) if j - i > 1]
+            out = [compare(t.slice(i, j - i)) for i, j in zip(edge[:-1].tolist(), edge[1:].tolist()) if j - i > 1]
             a, b = (np.concatenate([o[n] for o in out]) if out else np.empty(0, np.int64) for n in (0, 1))
             both = np.unique(np.stack([a, b], 1), axis=0)
             return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
@@ -272,7 +285,7 @@ def near_pairs(base: DataFrame, k: int = 5, min_cos: float = 0.92, dim: int = 64
             key, cell = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             new = np.flatnonzero((key != key[-1]) | (cell != cell[-1]))
             cut = int(new[-1]) + 1 if len(new) else 0  # the last run may go on in the next batch
-            if not cut and held:
+            if held:
                 last = held[-1]
                 if last.column(0)[-1].as_py() != key[0] or last.column(1)[-1].as_py() != cell[0]:
                     yield flush(pa.Table.from_batches(held))
@@ -284,21 +297,7 @@ def near_pairs(base: DataFrame, k: int = 5, min_cos: float = 0.92, dim: int = 64
         if held:
             yield flush(pa.Table.from_batches(held))
 
-    sent = work.select("nid", "vec").mapInArrow(emit, "bucket long, cell int, nid long, s0 long, s1 long, vec binary")
-    pairs = sent.repartition("bucket", "cell").sortWithinPartitions("bucket", "cell").mapInArrow(groups, "a long, b long")
-    if extra is not None:
-        met = materialize(pairs.distinct(), "met")
-        ways = met.unionByName(met.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        outside = ways.join(near.select(F.col("rep").alias("b"), "hubs"), "b").select("a", F.explode("hubs").alias("b"))
-        outside = outside.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        pairs = met.unionByName(extra).unionByName(outside)
-    pairs = materialize(pairs.distinct(), "candidates")
-    return _ranked(base, pairs, k, min_cos, dim)
-
-
-def _rows(bucket, cell, nid, s0, s1, x) -> pa.RecordBatch:
-    vec = pa.nulls(len(nid), pa.binary()) if x is None else pa.array([r.tobytes() for r in x], pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(cell), pa.array(nid), pa.array(s0), pa.array(s1), vec], names=["bucket", "cell", "nid", "s0", "s1", "vec"])
+    return groups
 
 
 #: Words of 64 bits in the filter of needed rows; its size is fixed (512 KB), a larger need only lets more rows pass.

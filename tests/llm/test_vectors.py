@@ -1,6 +1,7 @@
 """Nearest vectors against brute force, with copies, hot buckets and unusable rows."""
 
 import datetime as dt
+import os
 
 import numpy as np
 import pytest
@@ -112,3 +113,23 @@ def test_nearest(spark, n):
         hit, total = hit + len(want & set(rows.id_b)), total + len(want)
         assert sorted(rows["rank"]) == list(range(1, len(rows) + 1))
     assert total and hit / total >= 0.9
+
+
+DATA = "/root/testdata/sf0.1"
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_recall_of_the_nearest_on_a_whole_table(spark):
+    """The query set of p1_nearest against all rows of a table, by brute force in numpy: at least 0.9 of the 5 nearest."""
+    base = vectors.usable(spark.read.parquet(f"{DATA}/chunks_vectors.parquet"), "chunk_id")
+    rows = base.select("id", "vec").toPandas()
+    x = np.frombuffer(b"".join(rows.vec), "<f4").reshape(-1, 64)
+    at = {k: i for i, k in enumerate(rows.id)}
+    got = vectors.nearest(base, base.where("pmod(xxhash64(id), 50) = 0")).toPandas()
+    hit = total = 0
+    for k, r in got.groupby("id_a"):
+        s = x @ x[at[k]]
+        s[at[k]] = -2
+        fifth = np.partition(s, -5)[-5]
+        hit, total = hit + (s[[at[j] for j in r.id_b]] >= fifth - 1e-6).sum(), total + 5
+    assert len(rows) > 10_000 and total > 1000 and hit / total >= 0.9
