@@ -1,9 +1,11 @@
 """References to records that do not exist: incrementally kept pending-orphan state.
 
-The state has two tables: an index of parents and all references with their present kind. A batch of arrivals
-changes only what it touches: new references probe the parent index; references whose parent arrived, was
-deleted or was restored are judged anew; all others keep their kind. The outcome doesn't depend on how the
-rows were dealt to batches. Counts can be taken after any batch.
+The state has three tables in a folder, each split into buckets by a hash of its key: an index of parents by their key, the
+references by their own key (what they point to now), and the references by the key they point to, with their present kind. A
+batch of arrivals reads only the buckets it touches and appends only rows that change: new references probe the parent index;
+references whose parent arrived, was deleted or was restored are judged anew, and written if their kind is another one. So a batch
+costs what it touches, not what the state holds. The newest row of a key counts; after ``MOST`` batches what was appended is
+merged. The outcome doesn't depend on how the rows were dealt to batches. Counts can be taken after any batch.
 
 Kinds: ``missing`` if the parent has no record, else ``deleted`` if its latest copy has a deletion time, else ``late`` if its
 first time is after the first time of the referring record; null if the reference is sound.
@@ -11,14 +13,18 @@ first time is after the first time of the referring record; null if the referenc
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Iterable, Iterator, Mapping
+from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.runtime import materialize
+from docloom.runtime import materialize, work_folder
+
+
+#: Columns of arrivals.
+REFS, PARENTS = "tbl string, row_key string, parent string, ref string, time timestamp", "parent string, ref string, time timestamp, gone boolean"
 
 
 def key_form(c: Column | str) -> Column:
@@ -38,49 +44,131 @@ def parents(df: DataFrame, parent: str, key: str, at: str, deleted: str | None)
     return df.select(F.lit(parent).alias("parent"), key_form(F.col(key).cast("string")).alias("ref"), F.col(at).cast("timestamp").alias("time"), gone.alias("gone")).where("ref is not null")
 
 
+#: Columns, key and bucket columns of the tables of the state.
+TABLES = {
+    "parents": ("parent string, ref string, first timestamp, last timestamp, gone boolean", ["parent", "ref"], ["parent", "ref"]),
+    "keys": ("tbl string, row_key string, parent string, ref string, first timestamp, last timestamp, old_parent string, old_ref string", ["tbl", "row_key"], ["tbl", "row_key"]),
+    "refs": ("tbl string, row_key string, parent string, ref string, first timestamp, kind string, there boolean", ["tbl", "row_key", "parent", "ref"], ["parent", "ref"]),
+}
+BUCKETS = 64
+#: Appended parts of a table before they are merged.
+MOST = 16
+
+
+def _bucket(keys: list[str]) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
+
+
 @dataclass(frozen=True)
 class State:
-    parents: DataFrame  # parent, ref, first, last, gone
-    refs: DataFrame  # tbl, row_key, parent, ref, first, last, kind
-
-    @staticmethod
-    def empty(spark: SparkSession) -> State:
-        return State(
-            spark.createDataFrame([], "parent string, ref string, first timestamp, last timestamp, gone boolean"),
-            spark.createDataFrame([], "tbl string, row_key string, parent string, ref string, first timestamp, last timestamp, kind string"),
-        )
+    """A version of the state: which buckets each appended part of each table has. Parts never change once they are written."""
 
+    spark: SparkSession
+    path: str
+    version: int = -1
+    parts: Mapping[str, Mapping[int, frozenset[int]]] = field(default_factory=lambda: {t: {} for t in TABLES})
 
-def _judge(refs: DataFrame, index: DataFrame, unmatched: Column) -> DataFrame:
+    @staticmethod
+    def empty(spark: SparkSession, path: str | None = None) -> State:
+        """An empty state under ``path``; without one in a folder of its own that goes when the session ends."""
+        return State(spark, path or work_folder(spark, "orphans"))
+
+    def read(self, name: str, buckets: Iterable[int] | None = None) -> DataFrame:
+        """The newest row of each key, of the given buckets or all."""
+        schema, key, _ = TABLES[name]
+        want = None if buckets is None else frozenset(buckets)
+        paths = [f"{self.path}/{name}/v={v}/bucket={b}" for v, have in sorted(self.parts[name].items()) for b in sorted(have if want is None else have & want)]
+        if not paths:
+            return self.spark.createDataFrame([], schema)
+        df = self.spark.read.schema(f"{schema}, v int, bucket int").option("basePath", f"{self.path}/{name}").parquet(*paths)
+        cols = [c.split()[0] for c in schema.split(", ")]
+        if len(self.parts[name]) > 1:
+            df = df.groupBy(*key).agg(F.max_by(F.struct(*[c for c in cols if c not in key]), "v").alias("s")).select(*key, "s.*")
+        return df.select(*cols)
+
+    def append(self, version: int, **tables: DataFrame) -> State:
+        """The state with rows added to some of its tables; a part that was there already is written anew."""
+        parts = {t: dict(p) for t, p in self.parts.items()}
+        for name, df in tables.items():
+            cols = [c.split()[0] for c in TABLES[name][0].split(", ")]
+            at = f"{self.path}/{name}/v={version}"
+            # buckets come together, but large ones are split
+            df.select(*cols, _bucket(TABLES[name][2]).alias("bucket")).hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(at)
+            parts[name][version] = frozenset(int(n[7:]) for n in _names(self.spark, at) if n.startswith("bucket="))
+        return State(self.spark, self.path, version, parts)
+
+    def merged(self) -> State:
+        """The same state with each table in one part."""
+        version = self.version + 1
+        whole = {t: self.read(t) for t in TABLES}
+        whole["refs"] = whole["refs"].where("there")
+        fresh = State(self.spark, self.path, self.version).append(version, **whole)
+        return State(self.spark, self.path, version, fresh.parts)
+
+
+def _names(spark: SparkSession, path: str) -> list[str]:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return [s.getPath().getName() for s in p.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(p)]
+
+
+def _judge(refs: DataFrame, index: DataFrame) -> DataFrame:
     """``refs`` with the kind by the parent in ``index``; the parent side is one row a key, so a hot key splits."""
     p = index.select(F.col("parent").alias("p_parent"), F.col("ref").alias("p_ref"), F.col("first").alias("p_first"), "gone")
     on = (F.col("parent") == F.col("p_parent")) & (F.col("ref") == F.col("p_ref"))
-    kind = F.when(F.col("p_ref").isNull(), unmatched).when(F.col("gone"), F.lit("deleted")).when(F.col("p_first") > F.col("first"), F.lit("late"))
-    return refs.join(p, on, "left").select("tbl", "row_key", "parent", "ref", "first", "last", kind.alias("kind"))
+    kind = F.when(F.col("p_ref").isNull(), F.lit("missing")).when(F.col("gone"), F.lit("deleted")).when(F.col("p_first") > F.col("first"), F.lit("late"))
+    return refs.join(p, on, "left").withColumn("kind", kind).drop("p_parent", "p_ref", "p_first", "gone")
+
 
+def _buckets(*dfs: tuple[DataFrame, list[str]]) -> list[set[int]]:
+    """The buckets that each of the tables touches: at most ``BUCKETS`` numbers each."""
+    out: list[set[int]] = [set() for _ in dfs]
+    each = [df.select(F.lit(i).alias("i"), _bucket(key).alias("b")) for i, (df, key) in enumerate(dfs)]
+    for r in reduce(lambda a, b: a.unionByName(b), each).distinct().collect():
+        out[r.i].add(r.b)
+    return out
 
-def advance(state: State, new_refs: DataFrame, new_parents: DataFrame) -> State:
-    """The state after a batch of arrivals; both parts are written to the shared folder."""
+
+def advance(state: State, new_refs: DataFrame, new_parents: DataFrame, version: int | None = None) -> State:
+    """The state after a batch of arrivals."""
+    if any(len(p) >= MOST for p in state.parts.values()):
+        state = state.merged()
+    version = max(state.version + 1, version or 0)
     came = new_parents.groupBy("parent", "ref").agg(F.min("time").alias("first"), F.max("time").alias("last"), F.max(F.struct("time", "gone")).alias("s")).select("parent", "ref", "first", "last", F.col("s.gone").alias("gone"))
-    both = state.parents.withColumn("new", F.lit(0)).unionByName(came.withColumn("new", F.lit(1)))
-    index = both.groupBy("parent", "ref").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.max(F.struct("last", "new", "gone")).alias("s"), F.max("new").alias("new"))
-    index = materialize(index.select("parent", "ref", "first", "last", F.col("s.gone").alias("gone"), "new"), "orphan-parents")
-    changed = index.where("new = 1")
-
-    fresh = new_refs.groupBy("tbl", "row_key").agg(F.min("time").alias("first"), F.max("time").alias("last"), F.max(F.struct("time", "parent", "ref")).alias("s"))
-    fresh = fresh.select("tbl", "row_key", F.col("s.parent").alias("parent"), F.col("s.ref").alias("ref"), "first", "last", F.lit(None).cast("string").alias("kind"), F.lit(1).alias("new"))
-    merged = state.refs.withColumn("new", F.lit(0)).unionByName(fresh).groupBy("tbl", "row_key").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.max(F.struct("last", "new", "parent", "ref", "kind")).alias("s"), F.max("new").alias("new"))
-    merged = merged.select("tbl", "row_key", F.col("s.parent").alias("parent"), F.col("s.ref").alias("ref"), "first", "last", F.col("s.kind").alias("kind"), "new")
-    probe = _judge(merged.where("new = 1 and ref is not null"), index, F.lit("missing"))
-    touch = _judge(merged.where("new = 0 and ref is not null"), changed, F.col("kind"))
-    blank = merged.where("ref is null").select("tbl", "row_key", "parent", "ref", "first", "last", F.lit(None).cast("string").alias("kind"))
-    refs = materialize(probe.unionByName(touch).unionByName(blank), "orphan-refs")
-    return State(index.drop("new"), refs)
+    fresh = new_refs.groupBy("tbl", "row_key").agg(F.min("time").alias("first"), F.max("time").alias("last"), F.max(F.struct("time", "parent", "ref")).alias("s")).select("tbl", "row_key", F.col("s.parent").alias("parent"), F.col("s.ref").alias("ref"), "first", "last")
+    first_batch = not any(state.parts.values())
+    if not first_batch:  # read several times below
+        came, fresh = materialize(came, "came-parents"), materialize(fresh, "came-references")
+        in_parents, in_keys = _buckets((came, ["parent", "ref"]), (fresh, ["tbl", "row_key"]))
+
+    index = came.withColumn("new", F.lit(1))
+    if not first_batch:
+        index = index.unionByName(state.read("parents", in_parents).join(came.select("parent", "ref"), ["parent", "ref"], "left_semi").withColumn("new", F.lit(0)))
+        index = index.groupBy("parent", "ref").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.max(F.struct("last", "new", "gone")).alias("s")).select("parent", "ref", "first", "last", F.col("s.gone").alias("gone"))
+
+    moved = fresh.withColumns({"old_parent": F.lit(None).cast("string"), "old_ref": F.lit(None).cast("string")})
+    if not first_batch:
+        old = state.read("keys", in_keys).select("tbl", "row_key", *[F.col(c).alias(f"o_{c}") for c in ("parent", "ref", "first", "last")])
+        stays = F.col("o_last").isNotNull() & (F.col("last").isNull() | (F.col("o_last") > F.col("last")))  # a later copy is known
+        now = lambda c: F.when(stays, F.col(f"o_{c}")).otherwise(F.col(c)).alias(c)
+        moved = fresh.join(old, ["tbl", "row_key"], "left").select("tbl", "row_key", now("parent"), now("ref"), F.least("first", "o_first").alias("first"), F.greatest("last", "o_last").alias("last"), F.col("o_parent").alias("old_parent"), F.col("o_ref").alias("old_ref"))
+    state = State(state.spark, state.path, state.version, state.parts).append(version, parents=index, keys=moved)
+
+    mine = state.spark.read.schema(TABLES["keys"][0]).parquet(f"{state.path}/keys/v={version}")
+    pointing = mine.where("ref is not null")
+    to = None if first_batch else _buckets((pointing, ["parent", "ref"]))[0]
+    out = _judge(pointing.select("tbl", "row_key", "parent", "ref", "first"), state.read("parents", to)).withColumn("there", F.lit(True))
+    if not first_batch:
+        left = mine.where("old_ref is not null and not (old_parent <=> parent and old_ref <=> ref)")
+        left = left.select("tbl", "row_key", F.col("old_parent").alias("parent"), F.col("old_ref").alias("ref"), "first", F.lit(None).cast("string").alias("kind"), F.lit(False).alias("there"))
+        waiting = state.read("refs", in_parents).where("there").join(came.select("parent", "ref"), ["parent", "ref"], "left_semi").join(mine.select("tbl", "row_key"), ["tbl", "row_key"], "left_anti")
+        again = _judge(waiting.withColumnRenamed("kind", "was"), state.read("parents", in_parents)).where("not (kind <=> was)").drop("was")
+        out = out.unionByName(left).unionByName(again)
+    return state.append(version, refs=out)
 
 
 def orphans(state: State) -> DataFrame:
     """``tbl``, ``row_key``, ``ym``, ``kind`` of the references that lead nowhere."""
-    return state.refs.where("kind is not null").select("tbl", "row_key", F.date_format("first", "yyyy-MM").alias("ym"), "kind")
+    return state.read("refs").where("there and kind is not null").select("tbl", "row_key", F.date_format("first", "yyyy-MM").alias("ym"), "kind")
 
 
 def counts(state: State) -> DataFrame:
@@ -89,25 +177,26 @@ def counts(state: State) -> DataFrame:
 
 
 def states(refs: DataFrame, parent_rows: DataFrame, batches: int = 3) -> Iterator[tuple[int | None, State]]:
-    """Take whole tables in as ``batches`` batches by arrival time, and give the state after each, with the batch's last microsecond.
+    """Take whole tables in as ``batches`` batches, and give the state after each, with the batch's last microsecond.
 
-    Rows without a time arrive first; the last batch has no end.
+    The batches part the time from the first to the last arrival of a reference evenly. Rows without a time arrive first; the last
+    batch has no end. The tables are read once: arrivals are written out by batch.
     """
     spark = refs.sparkSession
-    cuts: list = []
+    cuts: list[int] = []
     if batches > 1:
-        got = refs.select(F.percentile_approx(F.unix_micros("time"), [i / batches for i in range(1, batches)], 1000)).first()[0]
-        cuts = sorted(set(got or []))
-    state = State.empty(spark)
-    edges = [None, *cuts, None]
-    at = F.coalesce(F.unix_micros("time"), F.lit(-(2**62)))
-    for lo, hi in zip(edges[:-1], edges[1:]):
-        inside = F.lit(True)
+        lo, hi = refs.agg(F.min(F.unix_micros("time")), F.max(F.unix_micros("time"))).first()
         if lo is not None:
-            inside &= at > lo
-        if hi is not None:
-            inside &= at <= hi
-        state = advance(state, refs.where(inside), parent_rows.where(inside))
+            cuts = sorted({lo + (hi - lo) * i // batches for i in range(1, batches)})
+    at = F.coalesce(F.unix_micros("time"), F.lit(-(2**62)))
+    number = reduce(lambda a, b: a + b, [(at > c).cast("int") for c in cuts], F.lit(0))
+    state = State.empty(spark)
+    folder = work_folder(spark, "arrivals")
+    for name, df in (("refs", refs), ("parents", parent_rows)):
+        df.withColumn("batch", number).write.partitionBy("batch").parquet(f"{folder}/{name}")
+    came = [spark.read.schema(f"{kind}, batch int").parquet(f"{folder}/{name}") for name, kind in (("refs", REFS), ("parents", PARENTS))]
+    for i, hi in enumerate([*cuts, None]):
+        state = advance(state, *(df.where(F.col("batch") == i).drop("batch") for df in came))
         yield hi, state
 
 

@@ -41,17 +41,40 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared folder. It goes when the driver's JVM ends, or with :func:`clean_up`."""
+    path = f"{shared_dir(spark)}/docloom/{name}-{uuid.uuid4().hex}"
+    fs, p = _fs(spark, path)
+    fs.deleteOnExit(p)
+    _FOLDERS.append(path)
+    return path
+
+
+_FOLDERS: list[str] = []
+
+
+def _fs(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def clean_up(spark: SparkSession) -> int:
+    """Delete all work folders made so far; for long sessions, once the results that read them have been used. Gives their number."""
+    n = len(_FOLDERS)
+    while _FOLDERS:
+        fs, p = _fs(spark, _FOLDERS.pop())
+        fs.delete(p, True)
+    return n
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors.
 
-    The files go when the driver's JVM ends.
+    The files go when the driver's JVM ends, or with :func:`clean_up`.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/docloom/{name}-{uuid.uuid4().hex}"
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
+    path = work_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame, *keys, most: int = 64 << 20) -> DataFrame:

@@ -2,51 +2,60 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.operators.orphans import State, advance, counts
+from docloom.operators.orphans import TABLES, State, _names, advance, counts
+from docloom.runtime import _fs
 
 ARRIVAL = "side string, tbl string, row_key string, parent string, ref string, time timestamp, gone boolean"
 
 
-def _fs(spark: SparkSession, path: str):
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
-
-
 class Store:
-    """Versions of the state in a shared folder. A version is complete once its marker is there, so a batch that fails is done again."""
+    """Versions of the state in a shared folder, each told by a small file that is written last, so a batch that fails is done again.
+
+    A batch appends what it changes; nothing is written twice. Parts that no newest version but one tells of are deleted.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _done(self, v: int) -> bool:
-        fs, p = _fs(self.spark, f"{self.path}/v{v}/DONE")
-        return fs.exists(p)
+    def _told(self, n: int) -> str:
+        return f"{self.path}/versions/{n}.json"
 
-    def load(self, v: int) -> State:
-        if v < 0:
-            return State.empty(self.spark)
-        return State(self.spark.read.parquet(f"{self.path}/v{v}/parents"), self.spark.read.parquet(f"{self.path}/v{v}/refs"))
+    def _done(self, n: int) -> bool:
+        fs, p = _fs(self.spark, self._told(n))
+        return fs.exists(p)
 
-    def save(self, v: int, state: State) -> None:
-        state.parents.write.mode("overwrite").parquet(f"{self.path}/v{v}/parents")
-        state.refs.write.mode("overwrite").parquet(f"{self.path}/v{v}/refs")
-        fs, p = _fs(self.spark, f"{self.path}/v{v}/DONE")
-        fs.create(p, True).close()
-        fs, old = _fs(self.spark, f"{self.path}/v{v - 2}")
-        fs.delete(old, True)
+    def load(self, n: int) -> State:
+        """The state after batch ``n``; an empty one below 0."""
+        if n < 0:
+            return State.empty(self.spark, self.path)
+        told = json.loads("".join(r.value for r in self.spark.read.text(self._told(n)).collect()))
+        return State(self.spark, self.path, told["version"], {t: {int(v): frozenset(b) for v, b in p.items()} for t, p in told["parts"].items()})
+
+    def save(self, n: int, state: State) -> None:
+        told = {"version": state.version, "parts": {t: {v: sorted(b) for v, b in p.items()} for t, p in state.parts.items()}}
+        before = self.load(n - 1) if n > 0 and self._done(n - 1) else None
+        fs, p = _fs(self.spark, self._told(n) + ".new")
+        out = fs.create(p, True)
+        out.write(bytearray(json.dumps(told).encode()))
+        out.close()
+        fs.rename(p, _fs(self.spark, self._told(n))[1])
+        for t in TABLES:
+            kept = {*state.parts[t], *(before.parts[t] if before else ())}
+            for v in [int(x[2:]) for x in _names(self.spark, f"{self.path}/{t}") if x.startswith("v=")]:
+                if v not in kept and v <= state.version:
+                    fs.delete(_fs(self.spark, f"{self.path}/{t}/v={v}")[1], True)
 
     def newest(self) -> int:
-        fs, p = _fs(self.spark, self.path)
+        fs, p = _fs(self.spark, f"{self.path}/versions")
         if not fs.exists(p):
             return -1
-        names = [s.getPath().getName() for s in fs.listStatus(p)]
-        return max([-1, *(int(n[1:]) for n in names if n[0] == "v" and n[1:].isdigit() and self._done(int(n[1:])))])
+        return max([-1, *(int(n[:-5]) for n in _names(self.spark, f"{self.path}/versions") if n.endswith(".json") and n[:-5].isdigit())])
 
 
 def follow(arrivals: DataFrame, store: Store, on_counts: Callable[[int, DataFrame], None] | None = None, every: int = 1):
@@ -60,10 +69,7 @@ def follow(arrivals: DataFrame, store: Store, on_counts: Callable[[int, DataFram
             return
         refs = df.where("side = 'ref'").select("tbl", "row_key", "parent", "ref", "time")
         known = df.where("side = 'parent'").select("parent", "ref", "time", F.coalesce("gone", F.lit(False)).alias("gone"))
-        before = n - 1
-        while before >= 0 and not store._done(before):
-            before -= 1
-        state = advance(store.load(before), refs, known)
+        state = advance(store.load(store.newest()), refs, known)
         store.save(n, state)
         if on_counts and n % every == 0:
             on_counts(n, counts(state))

@@ -42,6 +42,52 @@ def test_states_over_time(spark):
     assert kinds(orphans.advance(s, none_r, none_p)) == {}
 
 
+def _rows_written(state, before):
+    """Rows of the parts that a batch appended."""
+    return sum(state.spark.read.parquet(f"{state.path}/{t}/v={v}").count() for t, p in state.parts.items() for v in p if v not in before.parts[t])
+
+
+def test_a_batch_costs_what_it_touches(spark):
+    refs = spark.range(20_000).selectExpr("'c' tbl", "concat('r', id) row_key", "'p' parent", "concat('k', id % 5000) ref", "timestamp'2020-03-01' time")
+    known = spark.range(4000).selectExpr("'p' parent", "concat('k', id) ref", "timestamp'2020-01-01' time", "false gone")
+    s = orphans.advance(orphans.State.empty(spark), refs, known)
+    assert orphans.orphans(s).count() == 4000
+    new = spark.createDataFrame([("c", f"n{i}", "p", "k1", D[5]) for i in range(8)], REFS)
+    t = orphans.advance(s, new, spark.createDataFrame([("p", "k4500", D[1], False), ("p", "k7", D[6], True)], PARENTS))
+    # 2 parents, 8 new references by key and by parent, 4 resolved and 4 reopened ones
+    assert _rows_written(t, s) == 2 + 8 + 8 + 4 + 4
+    touched = {t_: set().union(*(b for v, b in p.items() if v not in s.parts[t_])) for t_, p in t.parts.items()}
+    assert len(touched["parents"]) <= 2 and len(touched["keys"]) <= 8 and len(touched["refs"]) <= 3
+    k = kinds(t)
+    assert len(k) == 4000 and sum(v == "deleted" for v in k.values()) == 4 and ("c", "r4500") not in k
+
+
+def test_a_reference_that_changes(spark):
+    s = orphans.State.empty(spark)
+    known = spark.createDataFrame([("p", "a", D[0], False)], PARENTS)
+    none = spark.createDataFrame([], PARENTS)
+    s = orphans.advance(s, spark.createDataFrame([("c", "x", "p", "gone", D[3])], REFS), known)
+    assert kinds(s) == {("c", "x"): "missing"}
+    s = orphans.advance(s, spark.createDataFrame([("c", "x", "p", "a", D[4])], REFS), none)
+    assert kinds(s) == {}
+    s = orphans.advance(s, spark.createDataFrame([("c", "x", "p", "gone", D[2])], REFS), none)  # an older copy
+    assert kinds(s) == {}
+    s = orphans.advance(s, spark.createDataFrame([], REFS), spark.createDataFrame([("p", "a", D[6], True), ("p", "gone", D[0], False)], PARENTS))
+    assert kinds(s) == {("c", "x"): "deleted"}
+    s = orphans.advance(s, spark.createDataFrame([("c", "x", "p", None, D[7])], REFS), none)
+    assert kinds(s) == {}
+
+
+def test_merging_parts_changes_nothing(spark):
+    refs, known = spark.createDataFrame(REF_ROWS, REFS), spark.createDataFrame(PARENT_ROWS, PARENTS)
+    for s in orphans.states(refs, known, 4):
+        pass
+    m = s[1].merged()
+    assert kinds(m) == kinds(s[1]) == WANT and all(len(p) == 1 for p in m.parts.values())
+    more = spark.createDataFrame([("p", "zz", D[0], False)], PARENTS)
+    assert kinds(orphans.advance(m, spark.createDataFrame([], REFS), more)) == {k: v for k, v in WANT.items() if k != ("c", "lost")}
+
+
 def test_snapshots(spark):
     refs = spark.createDataFrame([("c", f"r{m}", "p", "b", D[m]) for m in range(12)], REFS)
     known = spark.createDataFrame([("p", "b", D[2], False), ("p", "b", D[6], True)], PARENTS)
@@ -51,7 +97,7 @@ def test_snapshots(spark):
         by.setdefault(r.until, {}).setdefault(r.kind, 0)
         by[r.until][r.kind] += r.n
     assert by[None] == {"deleted": 12} and len(by) == 3
-    assert by[min(t for t in by if t)] == {"late": 2}
+    assert by[min(t for t in by if t)] == {"late": 2}  # the parent is there, and the first two are older
 
 
 def test_keys(spark):
