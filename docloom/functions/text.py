@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 TOKEN = "[가-힣A-Za-z0-9]+"
 
 # Words that are no keywords of a reason.
-KEYWORD_STOPWORDS = "및 등 관련 경우 대상 처분 금액 손금 누락 과다 산출 계상 인정 부인 미포함 제외 오류".split()
+KEYWORD_STOPWORDS = ("및", "등", "관련", "경우", "대상", "처분", "금액", "손금", "누락", "과다", "산출", "계상", "인정", "부인", "미포함", "제외", "오류")
 
 # What a masked number is replaced with, in this order.
 MASKS = (
@@ -26,9 +26,9 @@ MASKS = (
 # Abbreviations of query words.
 ABBREVIATIONS = {"부가세": "부가가치세", "종소세": "종합소득세", "양도세": "양도소득세", "VAT": "부가가치세"}
 # Words that a query loses anywhere, as whole words, and particles that it loses after Hangul.
-COMPOUND_NOISE = "적출사례 조사사례 적발사례 세무조사 세무사례".split()
-WORD_NOISE = "사례 사건 적발 적출 조사 예시 예제 알려줘 알려주세요 찾아줘 검색 보여줘 관련 있어 있나요 있습니까 케이스".split()
-PARTICLES = "시 에 의 를 을 가 이 와 과 도".split()
+COMPOUND_NOISE = ("적출사례", "조사사례", "적발사례", "세무조사", "세무사례")
+WORD_NOISE = ("사례", "사건", "적발", "적출", "조사", "예시", "예제", "알려줘", "알려주세요", "찾아줘", "검색", "보여줘", "관련", "있어", "있나요", "있습니까", "케이스")
+PARTICLES = ("시", "에", "의", "를", "을", "가", "이", "와", "과", "도")
 
 
 def _col(c: Column | str) -> Column:
@@ -90,13 +90,18 @@ def labels(c: Column | str, vocabulary: Mapping[str, Sequence[str]]) -> Column:
     return F.array_compact(F.array(*[F.when(occurs(k), F.lit(k)) for k in sorted(vocabulary)])) if vocabulary else F.array().cast("array<string>")
 
 
-def first_case(c: Column | str, rules: Sequence[tuple[Sequence[Sequence[str]], str, float]]) -> Column:
-    """Struct (label, confidence) of the first rule all of whose groups have a member in the lower-cased text; else (null, 0)."""
+def first_case(c: Column | str, rules: Sequence[tuple], codes: Column | str | None = None) -> Column:
+    """Struct (label, confidence) of the first rule all of whose groups have a member in the lower-cased text; else (null, 0).
+
+    A rule is (groups, label, confidence), or has a prefix as well: then a code of the array ``codes`` that begins with it is a hit, too.
+    """
     low = F.lower(F.coalesce(_col(c), F.lit("")))
     kind = "struct<label:string,confidence:double>"
     out = F.struct(F.lit(None).alias("label"), F.lit(0.0).alias("confidence")).cast(kind)
-    for groups, label, confidence in reversed(rules):
+    for groups, label, confidence, *prefix in reversed(rules):
         hit = reduce(lambda x, y: x & y, [reduce(lambda p, q: p | q, [low.contains(w) for w in g]) for g in groups])
+        if prefix and codes is not None:
+            hit = hit | F.coalesce(F.exists(_col(codes), lambda x: x.startswith(prefix[0])), F.lit(False))
         out = F.when(hit, F.struct(F.lit(label).alias("label"), F.lit(confidence).alias("confidence")).cast(kind)).otherwise(out)
     return out
 

@@ -14,8 +14,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from docloom import schemas
 from docloom.functions import text as tx
-from docloom.operators import link, ordered
+from docloom.operators import link, ordered, store
 from docloom.runtime import materialize
 
 K1, B = 1.2, 0.75
@@ -73,9 +74,11 @@ def bm25_index(posted: DataFrame, stats: DataFrame, terms: Sequence[str], boosts
     return each.groupBy("id", "field").agg((F.sum(part) * F.element_at(boost, F.col("field"))).alias("score"))
 
 
-def bm25(df: DataFrame, key: str, terms: Sequence[str], boosts: Mapping[str, float], each_term: bool = False) -> DataFrame:
+def bm25(df: DataFrame, key: str, terms: Sequence[str], boosts: Mapping[str, float], each_term: bool = False, at: str | None = None) -> DataFrame:
     """BM25 of ``terms`` in the fields of ``boosts``.
 
+    With ``at`` rows of one key are one record, that with the greatest ``at``: it is chosen among counts, so no text is shuffled.
+
     Returns ``id`` and ``score``, the best boosted field score of each row with a term (``each_term``: also ``term``, one row a
     matching term). No terms give no rows; null fields have no tokens. The texts are read once: the pass that
     writes out the rows with a term observes the statistics of all rows on its way.
@@ -85,10 +88,12 @@ def bm25(df: DataFrame, key: str, terms: Sequence[str], boosts: Mapping[str, flo
     kind = df.schema[key].dataType.simpleString()
     if not terms or not fields:
         return df.sparkSession.createDataFrame([], f"id {kind}, {'term string, ' if each_term else ''}score double")
-    toks = df.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), *[_lowered(f).alias(f"t{i}") for i, f in enumerate(fields)])
+    toks = df.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), (F.col(at) if at else F.lit(0)).alias("at"), *[_lowered(f).alias(f"t{i}") for i, f in enumerate(fields)])
     count = lambda i, t: F.size(f"t{i}") - F.size(F.array_remove(F.col(f"t{i}"), t))
     names = [f"tf{i}_{j}" for i in range(len(fields)) for j in range(len(terms))]
-    tf = toks.select("id", *[F.size(f"t{i}").alias(f"dl{i}") for i in range(len(fields))], *[count(i, t).alias(f"tf{i}_{j}") for i in range(len(fields)) for j, t in enumerate(terms)])
+    tf = toks.select("id", "at", *[F.size(f"t{i}").alias(f"dl{i}") for i in range(len(fields))], *[count(i, t).alias(f"tf{i}_{j}") for i in range(len(fields)) for j, t in enumerate(terms)])
+    if at:
+        tf = store.first_wins(tf, ["id"], [F.desc("at")])
     seen = Observation()
     watched = tf.observe(
         seen,
@@ -133,6 +138,12 @@ def finding_documents(findings: DataFrame, reports: DataFrame, links: DataFrame,
     return out.withColumns({"item_norm": tx.bare_item("item"), "codes_from_rows": F.coalesce("codes_from_rows", F.array().cast("array<string>")), "overview_keywords": F.array_join(F.coalesce("reason_kw_norm", F.array().cast("array<string>")), " ")})
 
 
+def law_documents(laws: DataFrame, version: str = schemas.VERSION) -> DataFrame:
+    """Laws as they are indexed: one row a law, the default version where there is none, and the text that is searched."""
+    text = F.concat_ws("\n", *[F.nullif(tx.strip(c), F.lit("")) for c in ("law_name", "law_content")])
+    return laws.where("law_id is not null").withColumns({"extraction_version": F.coalesce("extraction_version", F.lit(version)), "text": text})
+
+
 def chunk_documents(chunks: DataFrame, longest: int = 32766) -> DataFrame:
     """Chunks as they are indexed: texts filled in, a line range where both ends are known, and whether the text is short enough for exact matching."""
     fill = lambda c: F.coalesce(F.nullif(tx.strip(c), F.lit("")), tx.strip("text"))

@@ -99,10 +99,10 @@ def is_unit_label(b: Column | str, text: Column | str, page_width: Column | str,
 
 
 def modal_height(blocks: DataFrame, keys: Sequence[str], height: str = "height", seq: str = "seq", least: float = 5, most: float = 50, default: float = 12.0) -> DataFrame:
-    """``keys``, ``height``: the most frequent height to one decimal; of equally frequent ones the first seen; ``default`` if none is plausible."""
+    """``keys``, ``height``: the most frequent height to one decimal; of equally frequent ones the first seen, then the lower; ``default`` if none is plausible."""
     h = blocks.withColumn("_h", F.when(F.col(height).between(least, most), F.round(height, 1)))
     n = h.groupBy(*keys, "_h").agg(F.count("*").alias("c"), F.min(seq).alias("f"))
-    best = n.groupBy(*keys).agg(F.max_by("_h", F.when(F.col("_h").isNotNull(), F.struct("c", (-F.col("f")).alias("f")))).alias("height"))
+    best = n.groupBy(*keys).agg(F.max_by("_h", F.when(F.col("_h").isNotNull(), F.struct("c", (-F.col("f")).alias("f"), (-F.col("_h")).alias("h")))).alias("height"))
     return best.select(*keys, F.coalesce("height", F.lit(default)).alias("height"))
 
 
@@ -254,8 +254,9 @@ def major_items(tables: DataFrame) -> DataFrame:
 
 # ---- a document's items, in reading order, to Markdown
 
-_ENDS = tuple(".!?임음함")
-_MARKS = tuple("-•○◦▪▫※◎●◆◇■□▲△▶▷*")
+# What a paragraph ends with, and what an entry of a list begins with.
+_ENDS = (".", "!", "?", "임", "음", "함")
+_MARKS = ("-", "•", "○", "◦", "▪", "▫", "※", "◎", "●", "◆", "◇", "■", "□", "▲", "△", "▶", "▷", "*")
 # Section titles and their Markdown heads.
 TITLES = (("조사성과(결과)", "## Ⅰ.조사성과(결과)", False), ("조사노하우", "## Ⅱ.조사노하우", True))
 HEADS = (("가.조사대상개요", "### 가. 조사대상개요"), ("나.적출성과", "### 나. 적출성과"))

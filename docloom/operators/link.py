@@ -16,7 +16,9 @@ def _classes(df: DataFrame, key: str, reason, side: str) -> tuple[DataFrame, Dat
     sig = df.where(f"{key} is not null and doc_id is not null").select(
         F.col(key).alias("member"), "doc_id", F.nullif("code", F.lit("")).alias("code"), F.array_sort(tx.token_set("item")).alias("item"), F.array_sort(F.array_distinct(reason)).alias("reason")
     )
-    sig = sig.withColumn("class", F.xxhash64(F.lit(side), "doc_id", F.coalesce("code", F.lit("")), "item", "reason")).dropDuplicates(["member"])
+    what = ("doc_id", F.coalesce("code", F.lit("")), "item", "reason")
+    twice = F.concat_ws(":", F.hex(F.xxhash64(F.lit(side), *what)), F.hex(F.xxhash64(F.lit(side + "2"), *what)))  # 128 bits, so that no strangers meet
+    sig = sig.withColumn("class", twice).dropDuplicates(["member"])
     return sig.groupBy("class").agg(*[F.first(c, True).alias(c) for c in ("doc_id", "code", "item", "reason")], F.count("*").alias("n")), sig.select("member", "class")
 
 

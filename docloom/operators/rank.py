@@ -77,6 +77,18 @@ def accept(blocks: DataFrame, doc: str = "doc_id", key: str = "finding_id", per_
     return b.where(accepted | passed).withColumns({"accepted": accepted, "rank": F.try_element_at(rank, F.col(key)).cast("long")})
 
 
+def keyword_block_counts(blocks: DataFrame, text: str, words: Sequence[str]) -> DataFrame:
+    """``word``, ``n``: in how many blocks each keyword occurs; ``blocks`` are those on the way to the last accepted one."""
+    names = [f"n{i}" for i in range(len(words))]
+    one = blocks.agg(*[F.count_if(F.coalesce(F.col(text).contains(w), F.lit(False))).alias(n) for w, n in zip(words, names)])
+    return one.select(F.explode(F.array(*[F.struct(F.lit(w).alias("word"), F.col(n).alias("n")) for w, n in zip(words, names)])).alias("x")).select("x.word", "x.n")
+
+
+def blend(scores: Mapping[str, float]) -> Column:
+    """Weighted sum of score columns, missing ones counting 0."""
+    return reduce(lambda a, b: a + b, [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) * F.lit(float(w)) for c, w in scores.items()], F.lit(0.0))
+
+
 def merge_adjacent(chunks: DataFrame, block: str = "finding_id", pairs: bool = False) -> DataFrame:
     """Chunks of a block and section that follow each other joined by line breaks.
 

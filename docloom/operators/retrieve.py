@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import vector as vx
 from docloom.operators import index as ix
+from docloom.operators import store
 from docloom.runtime import materialize
 
 
@@ -42,18 +43,41 @@ def document_set(found: DataFrame, words: int, cap: int = 30) -> DataFrame:
     return marked.withColumn("r", rank).where(F.when(F.col("any_all"), F.col("all")).otherwise(F.col("r") <= cap)).select("doc_id")
 
 
-def conditions(equals: Mapping[str, object] | None = None, within: Mapping[str, Sequence] | None = None, overlaps: Mapping[str, Sequence] | None = None) -> Column:
-    """A filter: columns equal to a value, in a list, arrays that share a value with a list. Empty parts pass all."""
+def conditions(equals: Mapping[str, object] | None = None, within: Mapping[str, Sequence] | None = None, overlaps: Mapping[str, Sequence] | None = None, any_of: Sequence[Mapping[str, object]] = ()) -> Column:
+    """A filter: columns equal to a value, in a list, arrays that share a value with a list, and one of ``any_of`` (each a set of equal values). Empty parts pass all."""
     parts = [F.col(c) == F.lit(v) for c, v in (equals or {}).items() if v is not None]
     parts += [F.col(c).isin(list(v)) for c, v in (within or {}).items() if v]
     parts += [F.arrays_overlap(F.col(c), F.array(*map(F.lit, v))) for c, v in (overlaps or {}).items() if v]
+    either = [conditions(x) for x in any_of if x]
+    if either:
+        parts.append(reduce(lambda a, b: a | b, either))
     return reduce(lambda a, b: a & b, parts, F.lit(True))
 
 
-def vector_top(vectors: DataFrame, query: Sequence[float], k: int, key: str, vector: str = "vector", least: float | None = None) -> DataFrame:
-    """``id``, ``score``: the ``k`` most similar rows by exact cosine, of at least ``least``. Unusable vectors match nothing."""
-    s = vectors.where(F.size(vector) == len(query)).select(F.col(key).alias("id"), vx.cosine(vector, vx.literal(query)).alias("score"))
-    s = s.where(F.col("score").isNotNull() & ~F.isnan("score"))
+def bool_search(df: DataFrame, key: str, must: Sequence[str], should: Sequence[str], boosts: Mapping[str, float], minimum: int = 0, where: Column | None = None, at: str | None = None) -> DataFrame:
+    """``id``, ``score``: rows with all ``must`` words and ``minimum`` of the ``should`` words; the scores of all words that match add up.
+
+    Each word counts by its best field. Without must-words and with a minimum of 0 one word has to match all the same.
+    """
+    low = lambda ws: list(dict.fromkeys(w.lower() for w in ws if w))
+    need, may = low(must), low(should)
+    each = ix.bm25(df if where is None else df.where(where), key, [*need, *may], boosts, each_term=True, at=at)
+    per = each.groupBy("id").agg(F.sum("score").alias("score"), F.count_if(F.col("term").isin(need)).alias("m"), F.count_if(F.col("term").isin(may)).alias("s"))
+    return per.where((F.col("m") == len(need)) & (F.col("s") >= minimum)).select("id", "score")
+
+
+def vector_top(vectors: DataFrame, query: Sequence[float], k: int, key: str, vector: str = "vector", least: float | None = None, at: str | None = None) -> DataFrame:
+    """``id``, ``score``: the ``k`` most similar rows by exact cosine, of at least ``least``. Unusable vectors match nothing.
+
+    Whole batches are multiplied with the query, so vectors leave the scan as scores. With ``at`` rows of one key are one
+    record, that with the greatest ``at``; else each task keeps the ``k`` best of a batch.
+    """
+    src = vectors.select(F.col(key).alias("id"), (F.col(at) if at else F.lit(0)).alias("at"), F.when(F.size(vector) == len(query), F.col(vector).cast("array<double>")).alias("v"))
+    kinds = {f.name: f.dataType.simpleString() for f in src.schema.fields}
+    s = src.mapInArrow(vx.scorer(query, k if at is None else None, least), f"id {kinds['id']}, at {kinds['at']}, score double")
+    if at:
+        s = store.first_wins(s, ["id"], [F.desc("at")]).where(F.col("score").isNotNull())
+    s = s.select("id", "score")
     return top(s if least is None else s.where(F.col("score") >= least), k)
 
 
@@ -97,17 +121,18 @@ class Hybrid:
     n: int = 100
 
 
-def hybrid_search(df: DataFrame, key: str, terms: Sequence[str], vectors: DataFrame | None, vector_key: str, query: Sequence[float] | None, s: Hybrid, where: Column | None = None) -> DataFrame:
+def hybrid_search(df: DataFrame, key: str, terms: Sequence[str], vectors: DataFrame | None, vector_key: str, query: Sequence[float] | None, s: Hybrid, where: Column | None = None, at: str | None = None, vector_at: str | None = None) -> DataFrame:
     """``id``, ``score``, ``r0``, ``r1``: text and vector legs fused. Without vectors or a query vector the text leg alone, with its BM25 scores.
 
     ``where`` holds for both legs: the vector leg is joined with the rows that pass. The legs' cuts are part of the meaning.
+    ``at`` and ``vector_at`` tell which of several rows of a key counts; the filter is then for tables without repeats.
     """
     kept = df if where is None else df.where(where)
-    text = top(ix.bm25(kept, key, terms, s.boosts), s.text_k)
+    text = top(ix.bm25(kept, key, terms, s.boosts, at=at), s.text_k)
     if vectors is None or query is None:
         return top(text, s.n)
     v = vectors if where is None else vectors.join(kept.select(F.col(key).alias(vector_key)).distinct(), vector_key, "left_semi")
-    return fused_top(rrf(text, vector_top(v, query, s.vector_k, vector_key, least=s.least), k=s.rrf_k), s.n)
+    return fused_top(rrf(text, vector_top(v, query, s.vector_k, vector_key, least=s.least, at=vector_at), k=s.rrf_k), s.n)
 
 
 @dataclass(frozen=True)
@@ -172,7 +197,7 @@ def retrieve_sections(chunks: DataFrame, found: DataFrame, queries: Mapping[str,
 
 def with_text(hits: DataFrame, chunks: DataFrame, short: int = 10) -> DataFrame:
     """Hits (id, text..) whose text is missing or shorter than ``short`` get the chunk's."""
-    t = chunks.groupBy(F.col("chunk_id").alias("id")).agg(F.max(F.coalesce("text", "text_norm")).alias("_t"))
+    t = chunks.join(hits.select(F.col("id").alias("chunk_id")).distinct(), "chunk_id", "left_semi").groupBy(F.col("chunk_id").alias("id")).agg(F.max(F.coalesce("text", "text_norm")).alias("_t"))
     return hits.join(t, "id", "left").withColumn("text", F.when(F.coalesce(F.char_length("text"), F.lit(0)) < short, F.col("_t")).otherwise(F.col("text"))).drop("_t")
 
 

@@ -64,6 +64,25 @@ def create_if_absent(spark: SparkSession, path: str, schema: str) -> None:
         spark.createDataFrame([], schema).coalesce(1).write.parquet(path)
 
 
+def recreate(spark: SparkSession, path: str, schema: str) -> None:
+    """Delete the table if it is there, and make it anew, empty."""
+    replace(spark.createDataFrame([], schema).coalesce(1), path)
+
+
+def ensure_collection(spark: SparkSession, path: str, dim: int, metric: str = "cosine", index_from: int = 20_000) -> dict:
+    """The vector table under ``path``, made if it isn't there, and its settings, which stay as they were made.
+
+    ``index_from`` is the number of rows from which a search should go through an index; a table of another dimension is an error.
+    """
+    if not exists(spark, f"{path}/settings"):
+        create_if_absent(spark, f"{path}/points", "id string, point_id string, vector array<float>, payload string")
+        spark.createDataFrame([(dim, metric, index_from)], "dim int, metric string, index_from int").coalesce(1).write.parquet(f"{path}/settings")
+    r = spark.read.parquet(f"{path}/settings").first()
+    if r.dim != dim:
+        raise ValueError(f"{path} holds vectors of {r.dim} elements, not {dim}")
+    return r.asDict()
+
+
 def back_up(spark: SparkSession, path: str, to: str) -> None:
     spark.read.parquet(path).write.mode("overwrite").parquet(to)
 

@@ -18,9 +18,9 @@ def counts_line(words: Sequence[str], counts: Sequence[int]) -> str:
     return ", ".join(f"{w}: {n}" for w, n in zip(words, counts)) if len(words) > 1 else ""
 
 
-def reference_lines(references: DataFrame, most: int = 20) -> list[str]:
-    """One line for each referenced block; there are at most as many as blocks were accepted."""
-    rows = references.select("doc_id", "finding_id", "page", "start_line", "end_line", "section").limit(most).collect()
+def reference_lines(references: DataFrame) -> list[str]:
+    """One line for each referenced block, by report and line; there are at most as many as blocks were accepted."""
+    rows = references.select("doc_id", "finding_id", "page", "start_line", "end_line", "section").orderBy("doc_id", "start_line", "finding_id").collect()
     return [f"- {r.doc_id} {r.finding_id} ({r.section}, p.{r.page}, {r.start_line}-{r.end_line})" for r in rows]
 
 

@@ -37,23 +37,29 @@ def parse_reports(raw: DataFrame, layouts: DataFrame, now: Column, strict: bool
     return Tables(reports, rows, found, link.link_pairs(rows, found), chunk.chunk_findings(found, docs, now), parse.law_references(ls, laws, now))
 
 
-def report_meta(docs: DataFrame, found: DataFrame, rows: DataFrame, vocabularies: Mapping[str, Mapping[str, Sequence[str]]], patterns: Sequence[str] = ()) -> DataFrame:
-    """Metadata of each report: tags of its findings, entities, and the keyword overview of its rows."""
+def report_meta(docs: DataFrame, found: DataFrame, rows: DataFrame, vocabularies: Mapping[str, Mapping[str, Sequence[str]]], patterns: Sequence[str] = (), industries: Sequence[tuple] = ()) -> DataFrame:
+    """Metadata of each report: tags of its findings, entities, industry (by words of its overview or a prefix of its codes), and the keyword overview of its rows."""
     texts = found.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("\n", "item", F.array_join("reason_kw_norm", " ")))), "\n").alias("t"), F.array_sort(F.collect_set("code")).alias("codes"))
     base = docs.select("doc_id", parse.overview("md").alias("overview")).join(texts, "doc_id", "left")
     out = meta.tag(base, "t", vocabularies)
     if patterns:
         out = out.withColumn("entities", tx.entities(F.concat_ws("\n", "overview", "t"), patterns))
+    if industries:
+        out = out.withColumn("_i", tx.first_case("overview", industries, "codes")).withColumns({"industry": F.col("_i")["label"], "industry_confidence": F.col("_i")["confidence"]}).drop("_i")
     kw = meta.keyword_overview(rows.withColumn("k", tx.keywords("reason_kw_raw")), "doc_id", "k")
     return out.join(kw.withColumnRenamed("overview", "overview_keywords"), "doc_id", "left").drop("t")
 
 
+#: Columns that tell where in the input a row stands: of several with a key the first in the input counts.
+_PLACE = ("doc_id", "line_number", "start_line", "section_order", "chunk_order")
+
+
 def ingest(spark: SparkSession, root: str, out: str, now: Column) -> None:
     """Parse all reports below ``root`` and upsert the tables under ``out``; any failure is raised."""
     t = parse_reports(files.read_markdown(spark, root), files.read_layouts(spark, root), now)
     for name, key in schemas.KEYS.items():
         df = getattr(t, name)
-        store.upsert(df, f"{out}/{name}", [key], [F.col(c).asc_nulls_last() for c in df.columns if c != key and dict(df.dtypes)[c] in ("string", "int")])
+        store.upsert(df, f"{out}/{name}", [key], [F.col(c).asc_nulls_last() for c in (*_PLACE, *sorted(set(df.columns) - {key, *_PLACE})) if c in df.columns and dict(df.dtypes)[c] in ("string", "int")])
 
 
 Embed = Callable[[list[str]], Sequence[Sequence[float]]]
@@ -69,6 +75,21 @@ def embedding_text(kind: str) -> Column:
     return F.concat_ws("\n", *[F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{n}: "), F.col(c))) for n, c in (("종류", "law_type"), ("법령", "law_name"), ("내용", "law_content"))])
 
 
+#: What goes with the vector of each kind of record.
+PAYLOADS = {
+    "finding": ("finding_id", ("finding_id", "doc_id", "code", "item", "item_detail", "start_line", "end_line")),
+    "chunk": ("chunk_id", ("chunk_id", "finding_id", "doc_id", "section", "section_order", "chunk_order", "code", "item", "page", "start_line", "end_line")),
+    "law": ("law_id", ("law_id", "finding_id", "doc_id", "law_type", "law_name", "page", "line_number")),
+}
+
+
+def points(df: DataFrame, kind: str, vectors: DataFrame | None = None) -> DataFrame:
+    """``id``, ``point_id``, ``text``, ``payload`` (JSON without nulls) of findings, chunks or laws, and their ``vector`` where given (key, vector)."""
+    key, names = PAYLOADS[kind]
+    out = df.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), tx.uuid_of(key).alias("point_id"), embedding_text(kind).alias("text"), store.payload(*names).alias("payload"))
+    return out if vectors is None else out.join(vectors.select(F.col(key).alias("id"), "vector"), "id")
+
+
 def embed(df: DataFrame, key: str, text: Column, load: Callable[[], Embed], known: DataFrame | None = None, batch: int = 64) -> DataFrame:
     """``key``, ``point_id``, ``text_hash``, ``vector``: blank texts are skipped, and texts whose hash ``known`` (key, text_hash) has already.
 
@@ -112,4 +133,4 @@ def answer_context(findings: DataFrame, chunks: DataFrame, terms: Sequence[str],
     return rank.pack_context(pieces, "q", ["block_rank", "place", "first_order", "section"], budget)
 
 
-__all__ = ["Tables", "answer_context", "embed", "embedding_text", "ingest", "parse_reports", "report_meta"]
+__all__ = ["Tables", "answer_context", "embed", "embedding_text", "ingest", "parse_reports", "points", "report_meta"]

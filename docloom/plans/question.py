@@ -5,18 +5,20 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field, replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from docloom.functions import text as tx
 from docloom.operators.retrieve import Expansion
 
 # Words that hint at a section, and words that ask for an explanation.
 SECTION_HINTS = {
-    "조사착안": "착안 발견 적발 확인 검토 문제점 의혹 혐의".split(),
-    "조사기법": "조사기법 기법 방법 절차 확인방법 검증 조사방법 접근".split(),
+    "조사착안": ("착안", "발견", "적발", "확인", "검토", "문제점", "의혹", "혐의"),
+    "조사기법": ("조사기법", "기법", "방법", "절차", "확인방법", "검증", "조사방법", "접근"),
 }
-EXPLAIN = "설명해 뭐야 무엇인지 정의 의미".split()
+EXPLAIN = ("설명해", "뭐야", "무엇인지", "정의", "의미")
 
 Filler = Callable[[str], Mapping[str, object]]
 
@@ -99,11 +101,59 @@ def clarification(s: Slots, asks: Mapping[str, str]) -> str:
     return " ".join(t for k, t in asks.items() if not s.labels.get(k))
 
 
-def plan(text: str, plain: str, script: str, vocabularies: Mapping[str, Mapping[str, Sequence[str]]], expander: Filler | None = None) -> Question:
-    """The plan of a normalised question. ``expander`` is a model hook; a failing one falls back to the rules."""
+def merged(ruled: Slots, filled: Mapping[str, object]) -> Slots:
+    """A hook's slots, made lists of strings; where it names no label of any vocabulary the ruled slots count, and a ruled code always does."""
+
+    def strings(v: object) -> list[str]:
+        v = [v] if isinstance(v, str) else v
+        return [x.strip() for x in v if isinstance(x, str) and x.strip()] if isinstance(v, (list, tuple)) else []
+
+    labels = {k: strings(filled.get(k)) for k in ruled.labels}
+    if not any(labels.values()):
+        labels = dict(ruled.labels)
+    code = filled.get("code")
+    terms = list(dict.fromkeys(x for v in labels.values() for x in v))
+    s = replace(ruled, code=ruled.code or (code if isinstance(code, str) and re.fullmatch(r"\d{5}", code) else None), labels=labels, required=terms[:2], optional=terms[2:])
+    return replace(s, confidence=confidence(s))
+
+
+def plans(questions: DataFrame, vocabularies: Mapping[str, Mapping[str, Sequence[str]]]) -> DataFrame:
+    """The rules of :func:`plan` over a table of questions (``q``, ``text``): any number at once, without a hook.
+
+    Adds ``plain``, ``script``, ``intent``, ``code``, a sorted array of labels for each vocabulary, ``sections`` (those hinted at), ``must``,
+    ``confidence`` and ``route``. A null question is an empty one.
+    """
+    low, has = F.lower("text"), lambda c, ws: reduce(lambda a, b: a | b, [c.contains(w) for w in ws])
+    out = questions.withColumn("text", F.coalesce("text", F.lit("")))
+    out = out.withColumns({"plain": tx.preprocess_query("text"), "script": tx.script_of("text"), "intent": F.when(has(low, EXPLAIN), "explain").otherwise("search")})
+    plain = F.col("plain")
+    folded = {k: {x: [p.lower() for p in (x, *syn) if p] for x, syn in v.items()} for k, v in vocabularies.items()}
+    named = {k: F.array_compact(F.array(*[F.when(has(plain, ps), F.lit(x)) for x, ps in sorted(v.items())])) for k, v in folded.items()}
+    hints = F.array_compact(F.array(*[F.when(has(plain, ws), F.lit(s)) for s, ws in SECTION_HINTS.items()]))
+    hinting = sorted({w for ws in SECTION_HINTS.values() for w in ws})
+    must = F.array_distinct(F.filter(tx.words("plain"), lambda w: (F.char_length(w) > 1) & ~w.isin(hinting)))
+    out = out.withColumns({"code": F.nullif(F.regexp_extract("plain", r"(?<!\d)\d{5}(?!\d)", 0), F.lit("")), **named, "sections": hints, "must": must})
+    some = [F.size(k) > 0 for k in named] or [F.lit(False)]
+    score = 0.3 * F.col("code").isNotNull().cast("int") + 0.2 * some[0].cast("int") + 0.25 * reduce(lambda a, b: a | b, some[1:], F.lit(False)).cast("int") + 0.1 * (F.size("sections") > 0).cast("int")
+    n = F.size("must")
+    related = reduce(lambda a, b: a + b, [F.size(F.array_except(F.col(k), F.col("must"))) for k in named], F.lit(0))
+    words = F.when(n >= 2, 0.7).when(n == 1, 0.5).otherwise(0.0) + F.when(related >= 3, 0.1).otherwise(0.0)
+    out = out.withColumn("confidence", F.round(F.least(F.lit(1.0), F.greatest(score, words)), 6))
+    known = F.col("code").isNotNull() | reduce(lambda a, b: a | b, some)
+    clarify = (n == 0) & ((F.col("confidence") < 0.4) | ~known)
+    return out.withColumn("route", F.when(clarify, "clarify").otherwise(F.col("intent")))
+
+
+def plan(text: str, plain: str, script: str, vocabularies: Mapping[str, Mapping[str, Sequence[str]]], expander: Filler | None = None, slotter: Filler | None = None) -> Question:
+    """The plan of a normalised question. ``slotter`` and ``expander`` are model hooks; failing ones fall back to the rules."""
     low = text.lower()
     intent = "explain" if any(w in low for w in EXPLAIN) else "search"
     s = slots_of(plain, vocabularies)
+    if slotter and intent == "search":
+        try:
+            s = merged(s, slotter(plain))
+        except Exception:  # noqa: BLE001 - whatever a hook raises, the rules remain
+            pass
     e = expand_by_rule(plain, s)
     if expander and intent == "search":
         try:

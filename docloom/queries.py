@@ -80,7 +80,21 @@ def p4_counts(spark: SparkSession, d: str) -> DataFrame:
     return orphans.counts(_orphan_state(spark, d))
 
 
-@query
+_P4_CUT = """with m as (select epoch_us(min(t)) lo, epoch_us(max(t)) hi from (select created_at t from chunks where chunk_id is not null union all select created_at from law_references where law_id is not null
+  union all select ingested_at from table_rows where row_id is not null union all select ingested_at from findings where finding_id is not null)),
+cut as (select make_timestamp((lo + (hi - lo) * i // 3)::bigint) until from m, (values (1), (2)) v(i) union all select null),
+""" + (
+    _P4.replace("with k as", "k as")
+    .replace("  select tbl, row_key, arg_max(parent, t)", "  select until, tbl, row_key, arg_max(parent, t)")
+    .replace("from k where row_key is not null group by 1, 2)", "from k join cut on cut.until is null or k.t is null or k.t <= cut.until where row_key is not null group by 1, 2, 3)")
+    .replace("  select parent, ref, min(t) t, arg_max(case", "  select until, parent, ref, min(t) t, arg_max(case")
+    .replace("from q where ref <> '' group by 1, 2)", "from q join cut on cut.until is null or q.t is null or q.t <= cut.until where ref <> '' group by 1, 2, 3)")
+    .replace("  select r.tbl,", "  select r.until, r.tbl,")
+    .replace("on r.parent = p.parent", "on r.until is not distinct from p.until and r.parent = p.parent")
+)
+
+
+@query(sql=_P4_CUT + "select until, tbl, ym, kind, count(*) n from o where kind is not null group by 1, 2, 3, 4")
 def p4_snapshots(spark: SparkSession, d: str) -> DataFrame:
     """The counts as they were after each batch of arrivals: orphans appear, are resolved and reopen."""
     return orphans.snapshots(*orphans.report_tables(*(table(spark, d, t) for t in _REPORT_TABLES)))
@@ -233,27 +247,13 @@ def bare_items(spark, d):
     return records(spark, d, "findings").select("finding_id", tx.bare_item("item").alias("item"))
 
 
-@query
-def preprocess_query(spark, d):
-    """Finding items cleaned as queries are (the particles need a look-behind that the SQL engine lacks)."""
-    return records(spark, d, "findings").select("finding_id", tx.preprocess_query("item").alias("q"))
-
-
 # lines, sections, chunks
 
 
 @query(sql=f"with {_CH}, l as (select chunk_id, string_split(text, chr(10)) s from ch where text is not null) select chunk_id, unnest(generate_series(1, len(s)))::int line_no, unnest(s) line from l")
 def line_explode(spark, d):
-    return records(spark, d, "chunks").select("chunk_id", F.posexplode(F.split("text", "\n")).alias("i", "line")).select("chunk_id", (F.col("i") + 1).alias("line_no"), "line")
-
-
-@query(sql=f"""with {_FI}, s as (select finding_id, unnest(section_spans) x, unnest(generate_series(1, len(section_spans))) i from fi)
-select finding_id, i::int span_no, x.name as name, x.start_line as start_line, (coalesce(lead(x.start_line) over (partition by finding_id order by i) - 1, x.end_line))::int end_line from s""")
-def section_spans_lead(spark, d):
-    """Section spans whose end is the line before the next section's start."""
-    s = records(spark, d, "findings").select("finding_id", F.posexplode("section_spans").alias("i", "x")).select("finding_id", (F.col("i") + 1).alias("span_no"), "x.name", "x.start_line", "x.end_line")
-    nxt = F.lead("start_line").over(Window.partitionBy("finding_id").orderBy("span_no"))
-    return s.withColumn("end_line", F.coalesce(nxt - 1, "end_line"))
+    ls = parse.lines(records(spark, d, "chunks").select(F.col("chunk_id").alias("doc_id"), F.col("text").alias("md")))
+    return ls.select(F.col("doc_id").alias("chunk_id"), "line_no", "line")
 
 
 @query(sql=f"""with {_CH}, s as (select chunk_id, generate_subscripts(string_split(text, chr(10)), 1) p, unnest(string_split(text, chr(10))) para from ch),
@@ -264,18 +264,6 @@ def fixed_window_segments(spark, d):
     return s.groupBy("chunk_id").agg(F.count("*").cast("int").alias("segments"), F.sum("n").cast("int").alias("n_words"), F.max("n").alias("longest"))
 
 
-@query
-def overlap_chunks(spark, d):
-    return chunk.chunk_texts(table(spark, d, "documents"), "doc_id", "text", "\n")
-
-
-@query(sql=f"with {_CH} select chunk_id, format('{{}}@{{:02d}}-{{:02d}}', finding_id, section_order, chunk_order) built, '[META] doc:' || doc_id || ' | finding:' || finding_id || ' | code:' || coalesce(code, '') || ' | section:' || section meta from ch where finding_id is not null and section_order is not null and chunk_order is not null")
-def chunk_ids(spark, d):
-    c = records(spark, d, "chunks").where("finding_id is not null and section_order is not null and chunk_order is not null")
-    m = F.concat(F.lit("[META] doc:"), "doc_id", F.lit(" | finding:"), "finding_id", F.lit(" | code:"), F.coalesce("code", F.lit("")), F.lit(" | section:"), "section")
-    return c.select("chunk_id", F.format_string("%s@%02d-%02d", "finding_id", "section_order", "chunk_order").alias("built"), m.alias("meta"))
-
-
 @query(sql=r"""with r as (select distinct source_path p from reports where source_path is not null), b as (select p, regexp_replace(regexp_replace(p, '^.*/', ''), '\.[^.]*$', '') n from r),
 x as (select p, n, regexp_extract(n, '(\d{4})[\s_]*([sShH상하])[^\d-]*-(\d+)-(\d+)', ['y', 'h', 'k', 'm']) g from b)
 select p source_path, case when g.y <> '' then g.y || case when g.h in ('s', 'S', '상') then 'S' else 'H' end || '-' || case when length(g.k) < 3 then lpad(g.k, 3, '0') else g.k end || '-' || g.m else n end report_id from x""")
@@ -283,19 +271,6 @@ def doc_id_parse(spark, d):
     return table(spark, d, "reports").select("source_path").where("source_path is not null").distinct().withColumn("report_id", parse.report_id("source_path"))
 
 
-@query(sql=f"with {_TR} select row_id, doc_id, row_no, item, code, reason_kw_raw from tr where doc_id is not null and not regexp_matches(row_id || coalesce(item, ''), '[|<>\\n]') and regexp_matches(row_id, '^[^\\s]+$') and not regexp_matches(coalesce(reason_kw_raw, ''), '[|<>\\n\\r]') and regexp_matches(coalesce(code, '00000'), '^[0-9]{{5}}$') and coalesce(item, 'x') = {_strip("coalesce(item, 'x')")} and coalesce(reason_kw_raw, 'x') = {_strip("coalesce(reason_kw_raw, 'x')")} and coalesce(item, 'x') <> '' and coalesce(reason_kw_raw, 'x') <> ''")
-def markdown_round_trip(spark, d):
-    """Table rows written as anchored Markdown and parsed back; rows a Markdown cell can't hold (pipes, tags, line breaks) stay out."""
-    r = records(spark, d, "table_rows").where("doc_id is not null and row_id rlike '^[^\\\\s]+$' and not concat(row_id, coalesce(item, '')) rlike '[|<>\\n]' and not coalesce(reason_kw_raw, '') rlike '[|<>\\n\\r]' and coalesce(code, '00000') rlike '^[0-9]{5}$'")
-    clean = lambda c: (F.coalesce(c, F.lit("x")) == tx.strip(F.coalesce(c, F.lit("x")))) & (F.coalesce(c, F.lit("x")) != "")
-    r = r.where(clean(F.col("item")) & clean(F.col("reason_kw_raw")))
-    cell = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    line = F.concat(F.lit("| "), cell("row_no"), F.lit(" | "), cell("item"), F.lit(" | "), cell("code"), F.lit(" | "), cell("reason_kw_raw"), F.lit(" | <!-- row_id: "), "row_id", F.lit(" -->"))
-    ls = r.select("doc_id", F.lit(1).alias("line_no"), line.alias("line"), F.lit(1).alias("n_lines"))
-    got = parse.table_rows(ls)
-    return got.select("row_id", "doc_id", "row_no", F.nullif("item", F.lit("")).alias("item"), "code", F.nullif("reason_kw_raw", F.lit("")).alias("reason_kw_raw"))
-
-
 @query(sql="""with a as (select user_id, event_id, ts, event_type, last_value(case when event_type = 'signup' then event_id end ignore nulls) over (partition by user_id order by ts, event_id) anchor from events)
 select event_id, anchor, row_number() over (partition by user_id, anchor order by ts, event_id) n from a where event_type = 'purchase'""")
 def law_forward_fill(spark, d):
@@ -394,26 +369,14 @@ def box_anti_overlap(spark, d):
 @query(sql="""with h as (select l_suppkey doc, round(l_tax * 100 + l_quantity, 1) h, min(l_orderkey) f, count(*) c from lineitem where l_tax * 100 + l_quantity between 5 and 50 group by 1, 2)
 select s.doc, coalesce(arg_max(h, {'c': c, 'f': -f, 'h': -h}), 12.0)::double height from (select distinct l_suppkey doc from lineitem) s left join h on h.doc = s.doc group by 1""")
 def modal_height(spark, d):
-    b = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("doc"), (F.col("l_tax") * 100 + F.col("l_quantity")).alias("height"), (F.col("l_orderkey") + F.lit(0.0)).alias("seq"))
-    # among heights first seen in the same order the lower one counts
-    b = b.withColumn("seq", F.struct(-F.col("seq"), -F.round("height", 1))).select("doc", "height", "seq")
-    n = b.withColumn("_h", F.when(F.col("height").between(5, 50), F.round("height", 1))).groupBy("doc", "_h").agg(F.count("*").alias("c"), F.max("seq").alias("f"))
-    best = n.groupBy("doc").agg(F.max_by("_h", F.when(F.col("_h").isNotNull(), F.struct("c", "f"))).alias("height"))
-    return best.select("doc", F.coalesce("height", F.lit(12.0)).alias("height"))
+    b = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("doc"), (F.col("l_tax") * 100 + F.col("l_quantity")).alias("height"), F.col("l_orderkey").alias("seq"))
+    return layout.modal_height(b, ["doc"])
 
 
 @query(sql=f"with {_BOX} select page, n, k, row_number() over (partition by page order by y0, x0, n, k) place from b")
 def reading_order_rank(spark, d):
-    r = F.row_number().over(Window.partitionBy("page").orderBy(F.col("box")["y0"], F.col("box")["x0"], "n", "k"))
-    return _boxes(spark, d).select("page", "n", "k", r.cast("long").alias("place"))
-
-
-@query
-def greedy_box_merge(spark, d):
-    """Boxes of a page merged greedily, and what of them isn't contained in a larger one."""
-    b = _boxes(spark, d).groupBy("page").agg(F.array_sort(F.collect_list(F.struct("n", "k", "box"))).alias("l"))
-    m = b.select("page", g.merge_boxes(0.5)(F.transform("l", lambda x: x["box"])).alias("m")).withColumn("m", F.col("m"))
-    return m.select("page", F.size("m").alias("merged"), F.size(g.drop_contained_boxes()("m")).alias("kept"))
+    b = _boxes(spark, d).withColumn("item_seq", F.struct("n", "k"))
+    return layout.reading_order(b, ["page"]).select("page", "n", "k", F.col("place").cast("long").alias("place"))
 
 
 # layout texts
@@ -426,19 +389,11 @@ def table_classify(spark, d):
     return table(spark, d, "documents").select("doc_id", layout.table_class("text").alias("kind"))
 
 
-@query(sql=f"""with {_LW} select law_id, case when contains(t[1], '예규') then '예규' when contains(t[1], '판례') then '판례' else '법령' end law_type, {_strip("coalesce(t[2], '')")} law_name
+@query(sql=f"""with {_LW} select law_id, case when contains(t[1], '예규') then '예규' when contains(t[1], '판례') then '판례' else '법령' end law_type, {_strip("coalesce(t[2], '')")} law_name, {_strip("coalesce(array_to_string(t[3:], chr(10)), '')")} law_content
 from (select law_id, string_split({_strip("concat_ws(chr(10), law_type, law_name, law_content)")}, chr(10)) t from lw where law_type in ('법령', '예규', '판례'))""")
 def law_info(spark, d):
     t = records(spark, d, "law_references").where(F.col("law_type").isin(*layout.LAW_KINDS)).select("law_id", layout.law_parts(F.concat_ws("\n", "law_type", "law_name", "law_content")).alias("p"))
-    return t.select("law_id", "p.law_type", "p.law_name")
-
-
-@query
-def table_reflow(spark, d):
-    """Table rows as lines of cells, made Markdown tables of at most 40 rows, as a page holds them."""
-    r = records(spark, d, "table_rows").where("doc_id is not null and row_no is not null").select("doc_id", "row_no", F.floor(F.col("row_no") / 40).alias("page"), "row_id", F.concat_ws("  ", F.lit("①"), F.coalesce("item", F.lit("-")), F.coalesce("code", F.lit("-")), F.coalesce(F.get(tx.keywords("reason_kw_raw"), F.lit(0)), F.lit("-"))).alias("l"))
-    text = r.groupBy("doc_id", "page").agg(F.concat_ws("\n", F.lit("연번  조사항목  코드  적출요지"), F.transform(F.array_sort(F.collect_list(F.struct("row_no", "row_id", "l"))), lambda x: x["l"])).alias("t"))
-    return text.select("doc_id", "page", layout.as_markdown_table("t", "doc_id").alias("md"))
+    return t.select("law_id", "p.law_type", "p.law_name", "p.law_content")
 
 
 # index and search
@@ -535,8 +490,8 @@ _HY = f"{_CH}, {_bm25_sql('ch', 'chunk_id', 'text', ['세금계산서', '계좌'
 
 
 def _legs(spark, d):
-    text = retrieve.top(index.bm25(records(spark, d, "chunks"), "chunk_id", ["세금계산서", "계좌"], {"text": 1.0}), 150)
-    return text, retrieve.vector_top(records(spark, d, "chunks_vectors"), QUERY_VECTOR, 150, "chunk_id", least=0.1)
+    text = retrieve.top(index.bm25(table(spark, d, "chunks"), "chunk_id", ["세금계산서", "계좌"], {"text": 1.0}, at="created_at"), 150)
+    return text, retrieve.vector_top(table(spark, d, "chunks_vectors"), QUERY_VECTOR, 150, "chunk_id", least=0.1, at="upserted_at")
 
 
 @query(sql=f"with {_HY} select id, round(score, 6) score, r0::int r0, r1::int r1 from fu")
@@ -547,7 +502,7 @@ def rrf_fusion(spark, d):
 @query(sql=f"with {_HY}, o as (select * from fu order by score desc, r0 nulls last, r1 nulls last, id limit 100) select id, round(score, 6) score from o")
 def hybrid_search(spark, d):
     s = retrieve.Hybrid({"text": 1.0}, 150, 150, 60, 0.1, 100)
-    got = retrieve.hybrid_search(records(spark, d, "chunks"), "chunk_id", ["세금계산서", "계좌"], records(spark, d, "chunks_vectors"), "chunk_id", QUERY_VECTOR, s)
+    got = retrieve.hybrid_search(table(spark, d, "chunks"), "chunk_id", ["세금계산서", "계좌"], table(spark, d, "chunks_vectors"), "chunk_id", QUERY_VECTOR, s, at="created_at", vector_at="upserted_at")
     return got.select("id", F.round("score", 6).alias("score"))
 
 
@@ -557,13 +512,6 @@ def relative_cutoff(spark, d):
     return retrieve.relative_cut(got, 0.9).select("id", F.round("score", 6).alias("score"))
 
 
-@query
-def retrieve_findings(spark, d):
-    e = retrieve.Expansion(must=("매출", "수수료"), should=("보조금",), related=("계좌",))
-    got = retrieve.retrieve_findings(records(spark, d, "findings"), ["매출", "수수료"], e, records(spark, d, "findings_vectors"), QUERY_VECTOR, least=0.1)
-    return got.select("id", F.round("score", 6).alias("score"))
-
-
 @query
 def answer_context(spark, d):
     """From query words to a packed context, in one plan."""
@@ -571,12 +519,6 @@ def answer_context(spark, d):
     return pipeline.answer_context(records(spark, d, "findings"), records(spark, d, "chunks"), ["매출"], e, {"조사착안": ["거래처", "원장"], "조사기법": ["전표", "계좌"]})
 
 
-@query
-def mmr_diversify(spark, d):
-    hits = records(spark, d, "findings_vectors").where(F.size("vector") == 64).select(F.lit(0).alias("q"), F.col("finding_id").alias("id"), vx.cosine("vector", vx.literal(QUERY_VECTOR)).alias("score"), "vector").where("score is not null and not isnan(score)")
-    return retrieve.diversify(retrieve.top(hits, 100), "q", 20)
-
-
 # ranking; a chunk's score is made of its lines and words, so that it is the same everywhere
 
 _HITS = f"{_CH}, h as (select chunk_id, finding_id, doc_id, section, section_order, chunk_order, start_line, end_line, text, (abs(coalesce(end_line, 0) - coalesce(start_line, 0)) % 17)::double / 16 + (length(chunk_id) % 5)::double / 10 score from ch where finding_id is not null)"
@@ -802,44 +744,16 @@ def text_backfill(spark, d):
     return retrieve.with_text(c.select(F.col("chunk_id").alias("id"), F.col("text_norm").alias("text")), c.select("chunk_id", "text", F.lit(None).cast("string").alias("text_norm"))).select("id", "text")
 
 
-@query
-def section_retrieval(spark, d):
-    """The best chunks of two sections among the findings of one keyword."""
-    found = retrieve.top(index.bm25(records(spark, d, "findings"), "finding_id", ["매출"], {"item": 1.0}), 30).select(F.col("id").alias("finding_id"))
-    got = retrieve.retrieve_sections(records(spark, d, "chunks"), found, {"조사착안": ["거래처", "원장"], "조사기법": ["전표"]}, records(spark, d, "chunks_vectors"), QUERY_VECTOR, least=0.0)
-    return got.select("section", "id", F.round("score", 6).alias("score"))
-
-
 @query(sql=f"with {_AC}, x as (select z.doc_id, finding_id, score, row_number() over (partition by z.doc_id order by score desc, finding_id) b, count(*) over (partition by z.doc_id) c from z, l where not ok and (rank < r or (select count(*) from z where ok) < 20)), f as (select doc_id, max(c) c, row_number() over (order by -max(score), arg_min(finding_id, b)) o, string_agg(finding_id, ',' order by b) filter (where b <= 3) items from x group by 1) select doc_id, items, greatest(c - 3, 0) more from f where o <= 2")
 def excluded_summary(spark, d):
     return rank.excluded_summary(_accepted(spark, d).where("not accepted")).withColumn("items", F.array_join("items", ","))
 
 
-@query(sql=f"with {_LW}, x as (select doc_id, page, law_id, law_type, law_name from lw where doc_id is not null and page is not null) select doc_id, page::int page, count(*)::bigint n from x group by 1, 2")
-def layout_json_export(spark, d):
-    """Laws written as layout JSON, one object a report and page block, and read back."""
-    x = records(spark, d, "law_references").where("doc_id is not null and page is not null").select(F.concat_ws("@", "doc_id", "page").alias("doc_id"), "page", F.get("bbox", F.lit(1)).alias("y0"), F.get("bbox", F.lit(0)).alias("x0"), F.lit("law_table").alias("type"), "law_type", "law_name")
-    back = parse.layout_laws(store.to_layout_json(x))
-    return back.groupBy(F.substring_index("doc_id", "@", 1).alias("doc_id"), "page").agg(F.count("*").alias("n"))
-
-
 @query(sql=f"with {_FI} select count(*)::bigint as \"rows\" from fi")
 def table_rows_count(spark, d):
     return records(spark, d, "findings").agg(F.count("*").alias("rows"))
 
 
-@query
-def table_files(spark, d):
-    return files.table_size(table(spark, d, "chunks"))
-
-
-@query
-def question_plans(spark, d):
-    """Finding items as questions: cleaned in a batch, and their script, by the same functions that a single question gets; no intent."""
-    q = records(spark, d, "findings").select("finding_id", F.concat(F.coalesce("item", F.lit("")), F.lit(" 사례를 알려줘")).alias("q"))
-    return q.select("finding_id", tx.preprocess_query("q").alias("plain"), tx.script_of("q").alias("script"))
-
-
 @query(sql=f"with {_CV}, f as (select id, score, row_number() over (order by score desc, id) r from vs where score is not null and not isnan(score)) select id, round(score, 6) score from f where r <= 50")
 def chunk_vector_topk(spark, d):
-    return retrieve.vector_top(records(spark, d, "chunks_vectors"), QUERY_VECTOR, 50, "chunk_id").withColumn("score", F.round("score", 6))
+    return retrieve.vector_top(table(spark, d, "chunks_vectors").where("chunk_id is not null"), QUERY_VECTOR, 50, "chunk_id", at="upserted_at").withColumn("score", F.round("score", 6))

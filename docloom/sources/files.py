@@ -100,7 +100,7 @@ def read_jdbc(spark: SparkSession, url: str, table: str, key: str | None = None,
 
 def by_id(df: DataFrame, ids: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     """The named columns of the rows with given ids, null for ids that are not there; ids keep their order-free multiplicity."""
-    found = df.select(key, *columns).dropDuplicates([key])
+    found = df.select(key, *columns).join(ids.select(key).distinct(), key, "left_semi").dropDuplicates([key])
     return ids.join(found, key, "left")
 
 
@@ -110,6 +110,33 @@ def table_size(df: DataFrame) -> DataFrame:
     return files.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.count("*").alias("files"), F.coalesce(F.sum("s"), F.lit(0)).alias("bytes"))
 
 
+class Vectors:
+    """A vector table by the address of its store: ``:memory:`` (a temporary view), ``path:...`` (a parquet table) or a ``jdbc:`` address."""
+
+    def __init__(self, spark: SparkSession, address: str, name: str = "vectors", **options: str):
+        self.spark, self.address, self.name, self.options = spark, address, name, options
+        if not (address == ":memory:" or address.startswith(("path:", "jdbc:"))):
+            raise ValueError(f"no vector store: {address}")
+
+    def read(self) -> DataFrame:
+        if self.address == ":memory:":
+            return self.spark.table(self.name)
+        if self.address.startswith("path:"):
+            return self.spark.read.parquet(f"{self.address[5:]}/{self.name}")
+        return read_jdbc(self.spark, self.address, self.name, **self.options)
+
+    def write(self, df: DataFrame) -> None:
+        """Replace the table; a table at a path may be read by ``df``."""
+        from docloom.operators import store
+
+        if self.address == ":memory:":
+            df.createOrReplaceTempView(self.name)
+        elif self.address.startswith("path:"):
+            store.replace(df, f"{self.address[5:]}/{self.name}")
+        else:
+            df.write.format("jdbc").options(url=self.address, dbtable=self.name, **self.options).mode("overwrite").save()
+
+
 def setting(env: Mapping[str, str], key: str, default, kind=str):
     """A typed setting from the environment; the default where it is unset or can't be read."""
     raw = env.get(key)
