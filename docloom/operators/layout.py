@@ -247,8 +247,8 @@ def major_items(tables: DataFrame) -> DataFrame:
     rows = first.select("doc_id", F.posexplode(F.split("md", "\n")).alias("i", "l")).where((F.col("i") >= 2) & F.col("l").contains("|"))
     cells = F.transform(F.split(F.regexp_replace(F.substring_index("l", "<!--", 1), r"^\s*\||\|\s*$", ""), r"\|"), tx.strip)
     rows = rows.withColumn("c", cells).where(F.size("c") >= 3)
-    item = tx.strip(F.regexp_replace(F.col("c")[1], "[①-⑳]", ""))
-    rows = rows.select("doc_id", "i", item.alias("item"), F.col("c")[2].alias("code")).where((F.char_length("item") > 1) & ~F.col("item").rlike(r"^\d+$"))
+    item = tx.strip(F.regexp_replace(F.get("c", F.lit(1)), "[①-⑳]", ""))  # rows with fewer cells may be read before they are left out
+    rows = rows.select("doc_id", "i", item.alias("item"), F.get("c", F.lit(2)).alias("code")).where((F.char_length("item") > 1) & ~F.col("item").rlike(r"^\d+$"))
     return rows.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("i")).alias("n"), "item", "code")
 
 

@@ -1,8 +1,8 @@
 """References to records that do not exist: incrementally kept pending-orphan state.
 
-The state has three tables in a folder, each split into buckets by a hash of its key: an index of parents by their key, the
+The state has three tables in a folder, each clustered by buckets, a hash of its key: an index of parents by their key, the
 references by their own key (what they point to now), and the references by the key they point to, with their present kind. A
-batch of arrivals reads only the buckets it touches and appends only rows that change: new references probe the parent index;
+batch of arrivals reads the row groups of the buckets it touches and appends only rows that change: new references probe the parent index;
 references whose parent arrived, was deleted or was restored are judged anew, and written if their kind is another one. So a batch
 costs what it touches, not what the state holds. The newest row of a key counts; after ``MOST`` batches what was appended is
 merged. The outcome doesn't depend on how the rows were dealt to batches. Counts can be taken after any batch.
@@ -50,7 +50,9 @@ TABLES = {
     "keys": ("tbl string, row_key string, parent string, ref string, first timestamp, last timestamp, old_parent string, old_ref string", ["tbl", "row_key"], ["tbl", "row_key"]),
     "refs": ("tbl string, row_key string, parent string, ref string, first timestamp, kind string, there boolean", ["tbl", "row_key", "parent", "ref"], ["parent", "ref"]),
 }
-BUCKETS = 64
+BUCKETS = 4096
+#: Bytes of a row group, the least that is read of a table.
+GROUP = 4 << 20
 #: Appended parts of a table before they are merged.
 MOST = 16
 
@@ -61,12 +63,12 @@ def _bucket(keys: list[str]) -> Column:
 
 @dataclass(frozen=True)
 class State:
-    """A version of the state: which buckets each appended part of each table has. Parts never change once they are written."""
+    """A version of the state: the appended parts of each table by their numbers. Parts never change once they are written."""
 
     spark: SparkSession
     path: str
     version: int = -1
-    parts: Mapping[str, Mapping[int, frozenset[int]]] = field(default_factory=lambda: {t: {} for t in TABLES})
+    parts: Mapping[str, tuple[int, ...]] = field(default_factory=lambda: dict.fromkeys(TABLES, ()))
 
     @staticmethod
     def empty(spark: SparkSession, path: str | None = None) -> State:
@@ -76,39 +78,36 @@ class State:
     def read(self, name: str, buckets: Iterable[int] | None = None) -> DataFrame:
         """The newest row of each key, of the given buckets or all."""
         schema, key, _ = TABLES[name]
-        want = None if buckets is None else frozenset(buckets)
-        paths = [f"{self.path}/{name}/v={v}/bucket={b}" for v, have in sorted(self.parts[name].items()) for b in sorted(have if want is None else have & want)]
-        if not paths:
+        parts = self.parts[name]
+        if not parts:
             return self.spark.createDataFrame([], schema)
-        df = self.spark.read.schema(f"{schema}, v int, bucket int").option("basePath", f"{self.path}/{name}").parquet(*paths)
+        df = self.spark.read.schema(f"{schema}, v int, bucket int").parquet(*[self.part(name, v) for v in parts])
+        if buckets is not None and len(wanted := sorted(buckets)) < BUCKETS // 2:
+            df = df.where(F.col("bucket").isin(wanted))
         cols = [c.split()[0] for c in schema.split(", ")]
-        if len(self.parts[name]) > 1:
+        if len(parts) > 1:
             df = df.groupBy(*key).agg(F.max_by(F.struct(*[c for c in cols if c not in key]), "v").alias("s")).select(*key, "s.*")
         return df.select(*cols)
 
+    def part(self, name: str, version: int) -> str:
+        return f"{self.path}/{name}/part-{version}"
+
     def append(self, version: int, **tables: DataFrame) -> State:
         """The state with rows added to some of its tables; a part that was there already is written anew."""
-        parts = {t: dict(p) for t, p in self.parts.items()}
+        parts = dict(self.parts)
         for name, df in tables.items():
             cols = [c.split()[0] for c in TABLES[name][0].split(", ")]
-            at = f"{self.path}/{name}/v={version}"
             # buckets come together, but large ones are split
-            df.select(*cols, _bucket(TABLES[name][2]).alias("bucket")).hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(at)
-            parts[name][version] = frozenset(int(n[7:]) for n in _names(self.spark, at) if n.startswith("bucket="))
+            out = df.select(*cols, F.lit(version).alias("v"), _bucket(TABLES[name][2]).alias("bucket")).hint("rebalance", "bucket").sortWithinPartitions("bucket")
+            out.write.mode("overwrite").option("parquet.block.size", str(GROUP)).parquet(self.part(name, version))
+            parts[name] = (*(v for v in parts[name] if v != version), version)
         return State(self.spark, self.path, version, parts)
 
     def merged(self) -> State:
         """The same state with each table in one part."""
-        version = self.version + 1
         whole = {t: self.read(t) for t in TABLES}
         whole["refs"] = whole["refs"].where("there")
-        fresh = State(self.spark, self.path, self.version).append(version, **whole)
-        return State(self.spark, self.path, version, fresh.parts)
-
-
-def _names(spark: SparkSession, path: str) -> list[str]:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return [s.getPath().getName() for s in p.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(p)]
+        return State(self.spark, self.path, self.version).append(self.version + 1, **whole)
 
 
 def _judge(refs: DataFrame, index: DataFrame) -> DataFrame:
@@ -120,11 +119,11 @@ def _judge(refs: DataFrame, index: DataFrame) -> DataFrame:
 
 
 def _buckets(*dfs: tuple[DataFrame, list[str]]) -> list[set[int]]:
-    """The buckets that each of the tables touches: at most ``BUCKETS`` numbers each."""
+    """The buckets that each of the tables touches: at most ``BUCKETS`` numbers each, however many rows there are."""
     out: list[set[int]] = [set() for _ in dfs]
     each = [df.select(F.lit(i).alias("i"), _bucket(key).alias("b")) for i, (df, key) in enumerate(dfs)]
-    for r in reduce(lambda a, b: a.unionByName(b), each).distinct().collect():
-        out[r.i].add(r.b)
+    for r in reduce(lambda a, b: a.unionByName(b), each).groupBy("i").agg(F.collect_set("b").alias("b")).collect():
+        out[r.i].update(r.b)
     return out
 
 
@@ -135,7 +134,7 @@ def advance(state: State, new_refs: DataFrame, new_parents: DataFrame, version:
     version = max(state.version + 1, version or 0)
     came = new_parents.groupBy("parent", "ref").agg(F.min("time").alias("first"), F.max("time").alias("last"), F.max(F.struct("time", "gone")).alias("s")).select("parent", "ref", "first", "last", F.col("s.gone").alias("gone"))
     fresh = new_refs.groupBy("tbl", "row_key").agg(F.min("time").alias("first"), F.max("time").alias("last"), F.max(F.struct("time", "parent", "ref")).alias("s")).select("tbl", "row_key", F.col("s.parent").alias("parent"), F.col("s.ref").alias("ref"), "first", "last")
-    first_batch = not any(state.parts.values())
+    first_batch = not any(state.parts.values())  # nothing to merge with
     if not first_batch:  # read several times below
         came, fresh = materialize(came, "came-parents"), materialize(fresh, "came-references")
         in_parents, in_keys = _buckets((came, ["parent", "ref"]), (fresh, ["tbl", "row_key"]))
@@ -151,9 +150,9 @@ def advance(state: State, new_refs: DataFrame, new_parents: DataFrame, version:
         stays = F.col("o_last").isNotNull() & (F.col("last").isNull() | (F.col("o_last") > F.col("last")))  # a later copy is known
         now = lambda c: F.when(stays, F.col(f"o_{c}")).otherwise(F.col(c)).alias(c)
         moved = fresh.join(old, ["tbl", "row_key"], "left").select("tbl", "row_key", now("parent"), now("ref"), F.least("first", "o_first").alias("first"), F.greatest("last", "o_last").alias("last"), F.col("o_parent").alias("old_parent"), F.col("o_ref").alias("old_ref"))
-    state = State(state.spark, state.path, state.version, state.parts).append(version, parents=index, keys=moved)
+    state = state.append(version, parents=index, keys=moved)
 
-    mine = state.spark.read.schema(TABLES["keys"][0]).parquet(f"{state.path}/keys/v={version}")
+    mine = state.spark.read.schema(TABLES["keys"][0]).parquet(state.part("keys", version))
     pointing = mine.where("ref is not null")
     to = None if first_batch else _buckets((pointing, ["parent", "ref"]))[0]
     out = _judge(pointing.select("tbl", "row_key", "parent", "ref", "first"), state.read("parents", to)).withColumn("there", F.lit(True))
@@ -193,7 +192,7 @@ def states(refs: DataFrame, parent_rows: DataFrame, batches: int = 3) -> Iterato
     state = State.empty(spark)
     folder = work_folder(spark, "arrivals")
     for name, df in (("refs", refs), ("parents", parent_rows)):
-        df.withColumn("batch", number).write.partitionBy("batch").parquet(f"{folder}/{name}")
+        df.withColumn("batch", number).hint("rebalance", "batch").write.partitionBy("batch").parquet(f"{folder}/{name}")
     came = [spark.read.schema(f"{kind}, batch int").parquet(f"{folder}/{name}") for name, kind in (("refs", REFS), ("parents", PARENTS))]
     for i, hi in enumerate([*cuts, None]):
         state = advance(state, *(df.where(F.col("batch") == i).drop("batch") for df in came))
@@ -224,6 +223,6 @@ def report_tables(chunks: DataFrame, law_references: DataFrame, table_rows: Data
     return refs, known
 
 
-def report_references(chunks: DataFrame, law_references: DataFrame, table_rows: DataFrame, findings: DataFrame, reports: DataFrame, batches: int = 3) -> State:
+def report_references(chunks: DataFrame, law_references: DataFrame, table_rows: DataFrame, findings: DataFrame, reports: DataFrame, batches: int = 2) -> State:
     """The state over the tables of case reports; see :func:`states`."""
     return replay(*report_tables(chunks, law_references, table_rows, findings, reports), batches)

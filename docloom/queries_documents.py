@@ -14,8 +14,8 @@ from docloom.queries import _AREA, _BOX, _CH, _CV, _FI, _HITS, _INT, _KEY, _LW,
 from docloom.runtime import table, work_folder
 from docloom.sources import files
 
-_DOC = "^[A-Za-z0-9-]+$"
-_ID = r"^\S+$"
+_DOC = "^[A-Za-z0-9-]+$"  # in SQL, where a line break at the end doesn't match
+_DOC_ID, _ID = r"^[A-Za-z0-9-]+\z", r"(?U)^\S+\z"
 
 
 def _clean(c: str):
@@ -45,7 +45,7 @@ def markdown_lines(spark, d):
 
 def _row_markdown(spark, d) -> DataFrame:
     """The table rows of each report as a Markdown table with anchors; ``doc_id``, ``md``."""
-    r = records(spark, d, "table_rows").where(F.col("doc_id").rlike(_DOC) & F.col("row_id").rlike(_ID))
+    r = records(spark, d, "table_rows").where(F.col("doc_id").rlike(_DOC_ID) & F.col("row_id").rlike(_ID))
     code = F.when(F.col("code").rlike("^[0-9]{5}$"), F.col("code")).otherwise(F.lit(""))
     line = F.concat(F.lit("| "), F.coalesce(F.col("row_no").cast("string"), F.lit("")), F.lit(" | "), _clean("item"), F.lit(" | "), code, F.lit(" | "), _clean("reason_kw_raw"), F.lit(" | <!-- row_id: "), "row_id", F.lit(" -->"))
     body = r.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("row_id", line.alias("l")))).alias("ls"))
@@ -69,7 +69,7 @@ def missing_anchors(spark, d):
 
 def _finding_markdown(spark, d) -> DataFrame:
     """The findings of each report as Markdown with heads, anchors, a table and two sections; ``doc_id``, ``path``, ``md``."""
-    f = records(spark, d, "findings").where(F.col("doc_id").rlike(_DOC) & F.col("finding_id").rlike(_ID)).withColumn("kw", F.array_join("reason_kw_norm", " "))
+    f = records(spark, d, "findings").where(F.col("doc_id").rlike(_DOC_ID) & F.col("finding_id").rlike(_ID)).withColumn("kw", F.array_join("reason_kw_norm", " "))
     i = F.row_number().over(Window.partitionBy("doc_id").orderBy("finding_id"))
     f = f.select("doc_id", "finding_id", i.alias("i"), _clean("item").alias("item"), _clean("item_detail").alias("detail"), _clean("kw").alias("kw"), F.when(F.col("code").rlike("^[0-9]{5}$"), F.concat(F.lit("코드: "), "code")).otherwise(F.lit("")).alias("code"))
     head = F.concat(F.lit("### 적출 "), F.col("i").cast("string"), F.lit(". "), "item", F.lit(" <!-- finding_id: "), "finding_id", F.lit(" -->"))
@@ -108,7 +108,7 @@ def chunked_findings(spark, d):
 
 def _law_documents(spark, d) -> tuple[DataFrame, DataFrame]:
     """Laws of each report as lines with finding anchors and placeholders, and as layout JSON: (doc_id, md), (doc_id, json)."""
-    law = records(spark, d, "law_references").where(F.col("doc_id").rlike(_DOC) & (F.col("finding_id").isNull() | F.col("finding_id").rlike(_ID)))
+    law = records(spark, d, "law_references").where(F.col("doc_id").rlike(_DOC_ID) & (F.col("finding_id").isNull() | F.col("finding_id").rlike(_ID)))
     w = Window.partitionBy("doc_id").orderBy(F.col("finding_id").asc_nulls_first(), "law_id")
     law = law.select("doc_id", "finding_id", "law_type", "law_name", "law_content", F.row_number().over(w).alias("n"), F.lag("finding_id").over(w).alias("before"))
     mark = F.concat(F.lit("[law_table#"), F.col("n").cast("string"), F.lit("]"))
@@ -175,7 +175,7 @@ select doc_id, '---' || chr(10) || 'doc_id: "' || doc_id || '"' || chr(10) || '-
 def assembled_documents(spark, d):
     """Layout items of all findings, in reading order, put together as the Markdown of their reports."""
     f = _parsed(spark, d)[1].select("finding_id", F.coalesce("code", F.lit("")).alias("code"))
-    src = records(spark, d, "findings").where(F.col("doc_id").rlike(_DOC) & F.col("finding_id").rlike(_ID)).withColumn("kw", F.array_join("reason_kw_norm", " "))
+    src = records(spark, d, "findings").where(F.col("doc_id").rlike(_DOC_ID) & F.col("finding_id").rlike(_ID)).withColumn("kw", F.array_join("reason_kw_norm", " "))
     i = F.row_number().over(Window.partitionBy("doc_id").orderBy("finding_id"))
     src = src.select("doc_id", "finding_id", i.alias("i"), _clean("item").alias("item"), F.coalesce(F.nullif(_clean("item_detail"), F.lit("")), F.lit("없음")).alias("detail"), _clean("kw").alias("kw")).join(f, "finding_id")
     item = lambda place, kind, text: F.struct((F.col("i") * 10 + place).cast("double").alias("y"), F.lit(kind).alias("type"), text.alias("content"))
@@ -365,10 +365,10 @@ def index_search(spark, d):
 # ---- searches
 
 
-@query(sql=f"with {_FI}, {_bm25_sql('fi', 'finding_id', 'item', ['매출', '보조금', '수수료'], 'a')}, x as (select id, sum(part) score, count(*) filter (where term = '매출') m, count(*) filter (where term <> '매출') s from a group by 1) select id, round(score, 6) score from x where m = 1 and s >= 1")
+@query(sql=f"with {_FI}, {_bm25_sql('fi', 'finding_id', 'item', ['수수료', '귀속착오', '누락'], 'a')}, x as (select id, sum(part) score, count(*) filter (where term = '수수료') m, count(*) filter (where term <> '수수료') s from a group by 1) select id, round(score, 6) score from x where m = 1 and s >= 1")
 def bool_search(spark, d):
     """A word that must be there, and one of two others."""
-    got = retrieve.bool_search(table(spark, d, "findings"), "finding_id", ["매출"], ["보조금", "수수료"], {"item": 1.0}, minimum=1, at="ingested_at")
+    got = retrieve.bool_search(table(spark, d, "findings"), "finding_id", ["수수료"], ["귀속착오", "누락"], {"item": 1.0}, minimum=1, at="ingested_at")
     return got.select("id", F.round("score", 6).alias("score"))
 
 

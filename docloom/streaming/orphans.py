@@ -8,12 +8,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.operators.orphans import TABLES, State, _names, advance, counts
+from docloom.operators.orphans import TABLES, State, advance, counts
 from docloom.runtime import _fs
 
 ARRIVAL = "side string, tbl string, row_key string, parent string, ref string, time timestamp, gone boolean"
 
 
+def _names(spark: SparkSession, path: str) -> list[str]:
+    fs, p = _fs(spark, path)
+    return [s.getPath().getName() for s in fs.listStatus(p)]
+
+
 class Store:
     """Versions of the state in a shared folder, each told by a small file that is written last, so a batch that fails is done again.
 
@@ -35,10 +40,10 @@ class Store:
         if n < 0:
             return State.empty(self.spark, self.path)
         told = json.loads("".join(r.value for r in self.spark.read.text(self._told(n)).collect()))
-        return State(self.spark, self.path, told["version"], {t: {int(v): frozenset(b) for v, b in p.items()} for t, p in told["parts"].items()})
+        return State(self.spark, self.path, told["version"], {t: tuple(p) for t, p in told["parts"].items()})
 
     def save(self, n: int, state: State) -> None:
-        told = {"version": state.version, "parts": {t: {v: sorted(b) for v, b in p.items()} for t, p in state.parts.items()}}
+        told = {"version": state.version, "parts": state.parts}
         before = self.load(n - 1) if n > 0 and self._done(n - 1) else None
         fs, p = _fs(self.spark, self._told(n) + ".new")
         out = fs.create(p, True)
@@ -47,9 +52,9 @@ class Store:
         fs.rename(p, _fs(self.spark, self._told(n))[1])
         for t in TABLES:
             kept = {*state.parts[t], *(before.parts[t] if before else ())}
-            for v in [int(x[2:]) for x in _names(self.spark, f"{self.path}/{t}") if x.startswith("v=")]:
+            for v in [int(x[5:]) for x in _names(self.spark, f"{self.path}/{t}") if x.startswith("part-")]:
                 if v not in kept and v <= state.version:
-                    fs.delete(_fs(self.spark, f"{self.path}/{t}/v={v}")[1], True)
+                    fs.delete(_fs(self.spark, state.part(t, v))[1], True)
 
     def newest(self) -> int:
         fs, p = _fs(self.spark, f"{self.path}/versions")
