@@ -541,3 +541,28 @@ def missing_words(spark, d):
     return meta.missing_words(meta.word_report(table(spark, d, "documents"), "text", [p for k, v in TAGS.items() for p in (k, *v)])).select("word", "n")
 
 
+
+
+def _lengths():
+    """A stand-in for a model: the characters, blanks and first code point of a text."""
+    return lambda texts: [[len(t), t.count(" "), ord(t[0])] for t in texts]
+
+
+@query(sql=f"""with {_FI}, t as (select finding_id, concat_ws(chr(10), nullif({_strip('item_detail')}, ''), case when coalesce(array_to_string(reason_kw_norm[1:6], ', '), '') <> '' then '핵심키워드: ' || array_to_string(reason_kw_norm[1:6], ', ') end) t from fi)
+select finding_id, {_uuid_sql('finding_id')} point_id, substr(sha256(t), 1, 16) text_hash, length(t)::double as chars, (length(t) - length(replace(t, ' ', '')))::double blanks, unicode(t)::double as first from t where {_strip('t')} <> '' and not finding_id like '%1'""")
+def embedded_findings(spark, d):
+    """Texts of all findings through a model hook in batches; those whose text is known already (ids that end in 1) are left out."""
+    f = records(spark, d, "findings")
+    text = pipeline.embedding_text("finding")
+    known = f.where("finding_id like '%1'").select("finding_id", tx.text_hash(text).alias("text_hash"))
+    e = pipeline.embed(f, "finding_id", text, _lengths, known)
+    return e.select("finding_id", "point_id", "text_hash", *[F.col("vector")[i].cast("double").alias(n) for i, n in enumerate(("chars", "blanks", "first"))])
+
+
+@query(sql=f"""with {_FI}, t as (select finding_id, list_transform({_TOK.format("coalesce(item, '')")}, lambda x: lower(x)) l from fi),
+b as (select finding_id, list_concat(l, flatten(list_transform(list_filter(l, lambda x: regexp_full_match(x, '[가-힣]{{3,}}')), lambda x: list_transform(range(1, length(x)), lambda i: substr(x, i, 2))))) l from t)
+select term, count(distinct finding_id) df, count(*) cf from (select finding_id, unnest(l) term from b) group by 1""")
+def syllable_pairs(spark, d):
+    """Term statistics of an index with pairs of syllables, by which parts of compounds are found."""
+    p = index.postings(records(spark, d, "findings"), "finding_id", ["item"], bigrams=True)
+    return index.term_stats(p).select("term", "df", F.col("cf").cast("long").alias("cf"))
