@@ -42,6 +42,23 @@ def p2_values(spark: SparkSession, d: str) -> DataFrame:
     return packed.reasons(table(spark, d, "table_rows"), table(spark, d, "findings"))
 
 
+_LIST_MARK = "[①-⑳⑴-⒛㉠-㉻❶-❿➀-➉㈀-㈞]|[0-9가-하ㄱ-ㅎ][.)．）]"
+
+
+@query(sql=f"""with t as (select row_id, arg_max(coalesce(reason_kw_raw, ''), ingested_at) v from table_rows where row_id is not null group by 1), f as (select finding_id, arg_max(coalesce(reason_kw_norm, []), ingested_at) v from findings where finding_id is not null group by 1),
+s as (select 'table_rows' tbl, row_id row_key, v s from t union all select 'findings', finding_id, array_to_string(v, chr(10)) from f)
+select tbl, row_key, letters from (select tbl, row_key, s, regexp_replace(regexp_replace(s, '(?i)<\\s*/?\\s*(br|p|div|li|tr|td)\\b[^<>]*>', chr(10), 'g'), '[^\\pL\\pN]|[ㆍᆞ]', '', 'g') letters from s) where letters <> '' and not regexp_matches(s, '{_LIST_MARK}')""")
+def p2_letters(spark: SparkSession, d: str) -> DataFrame:
+    """The letters and figures of all values of a field, in order, which are those of the field: nothing is lost, added or moved.
+
+    Fields with what may be a list mark are left out, as list marks are no part of a value.
+    """
+    fields = packed.reason_fields(table(spark, d, "table_rows"), table(spark, d, "findings"))
+    listed = fields.where(F.col("s").rlike(_LIST_MARK)).select("tbl", "row_key")
+    vals = packed.unpack(fields).groupBy("tbl", "row_key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "val"))), lambda x: F.regexp_replace(x["val"], r"[^\p{L}\p{N}]", "")), "").alias("letters"))
+    return vals.where("letters <> ''").join(listed, ["tbl", "row_key"], "left_anti")
+
+
 _REPORT_TABLES = ("chunks", "law_references", "table_rows", "findings", "reports")
 
 _P4 = """
