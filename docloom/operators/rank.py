@@ -62,19 +62,16 @@ def accept(blocks: DataFrame, doc: str = "doc_id", key: str = "finding_id", per_
     sorted as a whole: documents are cut to their best, of which the best n are taken.
     """
     b = materialize(blocks.where(F.col("score").isNotNull()), "blocks")
+    place = F.struct((-F.col("score")).alias("s"), F.col(key).alias("k"))
     mine = F.row_number().over(Window.partitionBy(doc).orderBy(F.desc("score"), key))
-    top = b.withColumn("_d", mine).where(F.col("_d") <= per_doc).orderBy(F.desc("score"), key).limit(n).select(key, "score").collect()  # n rows
-
-    def before(r) -> Column:
-        return (F.col("score") > F.lit(r["score"])) | ((F.col("score") == F.lit(r["score"])) & (F.col(key) < F.lit(r[key])))
-
-    if not top:
-        return b.withColumns({"accepted": F.lit(False), "rank": F.lit(None).cast("long")}).limit(0)
-    ahead = b.agg(*[F.count_if(before(r)).alias(f"a{i}") for i, r in enumerate(top)]).first()
-    rank = F.create_map(*[F.lit(x) for i, r in enumerate(top) for x in (r[key], ahead[f"a{i}"] + 1)])
-    accepted = F.col(key).isin([r[key] for r in top])
-    passed = before(top[-1]) if len(top) == n else F.lit(True)
-    return b.where(accepted | passed).withColumns({"accepted": accepted, "rank": F.try_element_at(rank, F.col(key)).cast("long")})
+    best = b.withColumn("_d", mine).where(F.col("_d") <= per_doc).orderBy(F.desc("score"), key).limit(n)
+    best = best.agg(F.array_sort(F.collect_list(place)).alias("_t"))  # one row of at most n places
+    each = b.crossJoin(F.broadcast(best)).withColumn("_p", F.size(F.filter("_t", lambda t: t < place)))  # accepted blocks before this one
+    per = each.groupBy("_p").agg(F.count("*").alias("c")).withColumn("_n", F.sum("c").over(Window.orderBy("_p")))  # at most n + 1 rows
+    each = each.withColumn("accepted", F.array_contains(F.transform("_t", lambda t: t["k"]), F.col(key)))
+    passed = (F.size("_t") < n) | (F.col("_p") < n)
+    out = each.where((F.size("_t") > 0) & (F.col("accepted") | passed)).join(F.broadcast(per.select("_p", "_n")), "_p")
+    return out.withColumn("rank", F.when(F.col("accepted"), F.col("_n"))).select(*b.columns, "accepted", "rank")
 
 
 def keyword_block_counts(blocks: DataFrame, text: str, words: Sequence[str]) -> DataFrame:
