@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from docloom.functions import geometry as g
 from docloom.functions import text as tx
 from docloom.functions import vector as vx
-from docloom.operators import chunk, index, layout, link, meta, parse, rank, retrieve, store
+from docloom.operators import cells, chunk, index, layout, link, meta, parse, rank, retrieve, store
 from docloom.plans import pipeline, question
 from docloom.queries import _AREA, _BOX, _CH, _CV, _FI, _HITS, _INT, _KEY, _LW, _QV, _STOP, _TOK, _TR, _WS, QUERY_VECTOR, TAGS, _bm25_sql, _boxes, _hits, _strip, _words, query, records
 from docloom.runtime import table, work_folder
@@ -566,3 +566,25 @@ def syllable_pairs(spark, d):
     """Term statistics of an index with pairs of syllables, by which parts of compounds are found."""
     p = index.postings(records(spark, d, "findings"), "finding_id", ["item"], bigrams=True)
     return index.term_stats(p).select("term", "df", F.col("cf").cast("long").alias("cf"))
+
+
+_TOP20 = f"{_CV}, g as (select id, score from vs where score is not null and not isnan(score) and id in (select chunk_id from cv where section = '조사기법')), x as (select id, row_number() over (order by score desc, id) r from g)"
+
+
+@query(sql=f"with {_TOP20} select id from x where r <= 20")
+def cells_exact(spark, d):
+    """A search with a filter through the cell index that reads all cells: what a scan finds."""
+    return _cells(spark, d, 10**6).select("id")
+
+
+@query(sql=f"with {_TOP20} select count(*) k, true as enough from x where r <= 20")
+def cells_recall(spark, d):
+    """The same search reading three quarters of the cells, as its vector is unlike all rows: whether it has 9 of 10 of what all cells give."""
+    some = _cells(spark, d, None).select("id", F.lit(1).alias("hit"))
+    return _cells(spark, d, 10**6).join(some, "id", "left").agg(F.count("*").alias("k"), (F.count("hit") >= 0.9 * F.count("*")).alias("enough"))
+
+
+def _cells(spark, d, probe: int | None) -> DataFrame:
+    rows = cells.usable(table(spark, d, "chunks_vectors").select("chunk_id", "section", "vector", "upserted_at"), "chunk_id", "vector", 64, "upserted_at")
+    at = cells.write(rows, work_folder(spark, "cells"), key="chunk_id")
+    return cells.search(spark, at, QUERY_VECTOR, 20, "chunk_id", probe=probe or max(1, len(at.centres) * 3 // 4), where=F.col("section") == "조사기법")
