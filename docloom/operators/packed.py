@@ -180,6 +180,7 @@ def read(text: str, d: Dialect) -> Parse:
                 if i < n and i not in lists:
                     out.n_marks += 1
                     out.marks.add(s[i])
+                    out.left |= marks is not None and s[i] not in marks and s[i] not in _BREAK
                     i += 1  # the mark after the quote
                 continue
         start = i
@@ -298,9 +299,10 @@ def choose(read_: DataFrame, rounds: int = 2) -> DataFrame:
     each = materialize(each.select("s", "m", F.posexplode("o").alias("i", "x")).select("s", "m", "i", "x.dialect", "x.bits", "x.vals"), "readings")
     words = each.select("s", "i", "m", F.explode("vals").alias("val"))
     wanted = words.select("val").distinct()
-    sure = read_.where("s is null").select(F.explode("vals").alias("val"))
+    # only the values of open fields need a code; they are counted inside the tasks before anything is shuffled
+    sure = read_.where("s is null").select(F.explode("vals").alias("val")).groupBy("val").agg(F.count("*").alias("c"))
     total = read_.agg(F.coalesce(F.sum(F.size("vals")), F.lit(0)).alias("n"))
-    sure = materialize(wanted.join(sure.groupBy("val").agg(F.count("*").alias("c")), "val", "left").select("val", F.coalesce("c", F.lit(0)).alias("c")), "value-counts")
+    sure = materialize(wanted.join(sure, "val", "left").select("val", F.coalesce("c", F.lit(0)).alias("c")), "value-counts")
     chosen = each.where("i = 0").select("s", "i")
     for _ in range(rounds):
         here = words.join(chosen, ["s", "i"], "left_semi").select("val", F.col("m").alias("c"))
