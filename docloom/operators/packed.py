@@ -227,12 +227,20 @@ def _lists_clear(text: str, p: Parse) -> bool:
     return bool(p.n_lists > 1 or _CIRCLED(text) or _LIST.match(s))
 
 
+#: Anything that could part a value or begin a list.
+_SPECIAL = re.compile("[" + re.escape(_MARKS + "".join(_BREAK) + _BULLETS) + "①-⑳⑴-⒛㉠-㉻㈀-㈞❶-❿➀-➉]").search
+_PLAIN = _NUMBER["comma", "all", False]
+
+
 def readings(text: str) -> list[tuple[int, float, list[str]]]:
     """(dialect, bits of its frame, values) of the readings that the rules allow, each with its shortest dialect, shortest frame first.
 
     Dialects of one kind of mark are not run: where one covers all marks that part, it reads what the dialect of all marks reads,
     and where it doesn't it leaves a mark in a value, which the rules don't allow.
     """
+    if not _SPECIAL(text):  # one value or none, whatever the dialect
+        v = _SPACE.sub(" ", text).strip()
+        return [(_PLAIN, _CHOICE, [v] if v else [])]
     listed = _LISTED(text)
     full = read(text, FULL)
     ignoring_lists = listed and full.n_lists and not _lists_clear(text, full)
