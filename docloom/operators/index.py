@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from docloom import schemas
 from docloom.functions import text as tx
 from docloom.operators import link, ordered, store
-from docloom.runtime import materialize
+from docloom.runtime import materialize, spread
 
 K1, B = 1.2, 0.75
 
@@ -88,7 +88,8 @@ def bm25(df: DataFrame, key: str, terms: Sequence[str], boosts: Mapping[str, flo
     kind = df.schema[key].dataType.simpleString()
     if not terms or not fields:
         return df.sparkSession.createDataFrame([], f"id {kind}, {'term string, ' if each_term else ''}score double")
-    toks = df.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), (F.col(at) if at else F.lit(0)).alias("at"), *[_lowered(f).alias(f"t{i}") for i, f in enumerate(fields)])
+    src = spread(df.where(F.col(key).isNotNull()).select(*dict.fromkeys([key, *([at] if at else []), *fields])))  # tokens cost more than the scan
+    toks = src.select(F.col(key).alias("id"), (F.col(at) if at else F.lit(0)).alias("at"), *[_lowered(f).alias(f"t{i}") for i, f in enumerate(fields)])
     count = lambda i, t: F.size(f"t{i}") - F.size(F.array_remove(F.col(f"t{i}"), t))
     names = [f"tf{i}_{j}" for i in range(len(fields)) for j in range(len(terms))]
     tf = toks.select("id", "at", *[F.size(f"t{i}").alias(f"dl{i}") for i in range(len(fields))], *[count(i, t).alias(f"tf{i}_{j}") for i in range(len(fields)) for j, t in enumerate(terms)])
