@@ -77,7 +77,8 @@ def bm25_index(posted: DataFrame, stats: DataFrame, terms: Sequence[str], boosts
 def bm25(df: DataFrame, key: str, terms: Sequence[str], boosts: Mapping[str, float], each_term: bool = False, at: str | None = None) -> DataFrame:
     """BM25 of ``terms`` in the fields of ``boosts``.
 
-    With ``at`` rows of one key are one record, that with the greatest ``at``: it is chosen among counts, so no text is shuffled.
+    With ``at`` rows of one key are one record, that with the greatest ``at``: it is chosen among counts, so texts
+    aren't shuffled for it; those of one or two small files are spread over the cores before they are tokenised.
 
     Returns ``id`` and ``score``, the best boosted field score of each row with a term (``each_term``: also ``term``, one row a
     matching term). No terms give no rows; null fields have no tokens. The texts are read once: the pass that
