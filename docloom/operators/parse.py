@@ -36,7 +36,9 @@ def with_ids(raw: DataFrame, strict: bool = True) -> DataFrame:
 def lines(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``line_no`` (from 1), ``line``, ``n_lines``."""
     cut = F.split("md", "\n")
-    return docs.select("doc_id", F.size(cut).alias("n_lines"), F.posexplode(cut).alias("i", "line")).select("doc_id", (F.col("i") + 1).alias("line_no"), "line", "n_lines")
+    # counted before the lines are rows: beside posexplode, every line would cut its whole document again
+    sized = docs.select("doc_id", F.size(cut).alias("n_lines"), "md")
+    return sized.select("doc_id", "n_lines", F.posexplode(cut).alias("i", "line")).select("doc_id", (F.col("i") + 1).alias("line_no"), "line", "n_lines")
 
 
 def _cells(c: Column) -> Column:

@@ -1,6 +1,7 @@
 """Parsing of an anchored report, end to end, against values worked out by hand."""
 
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -98,6 +99,20 @@ def test_missing_doc_id(spark):
         parse.with_ids(raw).collect()
 
 
+def long_report(spark, n):
+    """One report of ``n`` findings, each of 9 lines from line 5 on."""
+    block = "### 적출 {0}. 항목 <!-- finding_id: F{0} -->\n| 적출요지 | 접대비 |\n\n#### 1. 조사착안\n검토 {0}\n\n#### 2. 조사기법\n확인 {0}\n\n"
+    md = '---\ndoc_id: "D"\n---\n\n' + "".join(block.format(i) for i in range(n))
+    return spark.createDataFrame([("D", md)], "doc_id string, md string")
+
+
+def test_lines_of_a_long_report_are_cut_once(spark):
+    began = time.time()
+    got = parse.lines(long_report(spark, 6_000)).agg(F.count("*"), F.min("n_lines"), F.max("n_lines"), F.max("line_no"), F.sum(F.length("line"))).first()
+    assert got[:4] == (54_005, 54_005, 54_005, 54_005)
+    assert time.time() - began < 20
+
+
 @pytest.mark.parametrize(("counts", "want"), [([800, 100, 100], [(0, 1), (0, 2), (0, 3)]), ([300, 300, 300], [(0, 2), (1, 3)]), ([399, 800], [(0, 2)]), ([10, 10], [(0, 2)]), ([], [])])
 def test_overlap_groups(counts, want):
     assert chunk.overlap_groups(counts) == want
