@@ -5,7 +5,7 @@ Null text gives null, or an empty array where an array is returned. ``(?U)`` mak
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column
@@ -208,5 +208,15 @@ def fixed_segments(paras: Column | str, most: int = 800) -> Column:
 
 def lines_between(c: Column | str, start: Column | str, end: Column | str) -> Column:
     """Lines ``start`` to ``end`` of a text (from 1, both included); empty outside of it."""
+    return joined_lines(F.split(_col(c), "\n"), start, end)
+
+
+def joined_lines(lines: Column | str, start: Column | str, end: Column | str) -> Column:
+    """Lines ``start`` to ``end`` of an array of lines, as :func:`lines_between` has them of a text."""
     start, end = F.greatest(_col(start), F.lit(1)), _col(end)
-    return F.array_join(F.slice(F.split(_col(c), "\n"), start, F.greatest(end - start + 1, F.lit(0))), "\n")
+    return F.array_join(F.slice(_col(lines), start, F.greatest(end - start + 1, F.lit(0))), "\n")
+
+
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often ``body`` uses it and however Spark merges projections."""
+    return F.transform(F.array(value), body)[0]

@@ -82,14 +82,24 @@ def chunk_findings(findings: DataFrame, docs: DataFrame, created_at: Column | No
     ``docs`` has doc_id and md. Findings without lines, and blank sections, give no chunk. Line numbers of a chunk are
     those of its section.
     """
-    base = findings.select("finding_id", "doc_id", "code", "item", "section_spans", "start_line", "end_line").join(docs.select("doc_id", "md"), "doc_id")
-    spans = F.transform(F.coalesce("section_spans", F.array().cast(schemas.SPANS)), lambda s: F.struct(s["name"].alias("name"), s["start_line"].alias("start_line"), s["end_line"].alias("end_line"), tx.lines_between(F.col("md"), s["start_line"], s["end_line"]).alias("t")))
-    whole = F.struct(F.lit("전체").alias("name"), F.col("start_line").cast("int"), F.col("end_line").cast("int"), tx.lines_between("md", "start_line", "end_line").alias("t"))
-    some = F.exists(spans, lambda s: tx.strip(s["t"]) != "")
-    usable = (F.col("start_line") > 0) & (F.col("end_line") > 0)
     kind = "array<struct<name:string,start_line:int,end_line:int,t:string>>"
-    parts = F.when(some, spans.cast(kind)).when(usable, F.array(whole).cast(kind)).otherwise(F.array().cast(kind))
-    rows = base.select("finding_id", "doc_id", "code", "item", F.posexplode(parts).alias("section_order", "s"))
+
+    def part(name: Column, start: Column, end: Column, lines: Column) -> Column:
+        return F.struct(name.alias("name"), start.cast("int").alias("start_line"), end.cast("int").alias("end_line"), tx.joined_lines(lines, start, end).alias("t"))
+
+    def parts(f: Column, lines: Column) -> Column:
+        spans = F.transform(F.coalesce(f["section_spans"], F.array().cast(schemas.SPANS)), lambda s: part(s["name"], s["start_line"], s["end_line"], lines))
+        whole = F.array(part(F.lit("전체"), f["start_line"], f["end_line"], lines))
+        usable = (f["start_line"] > 0) & (f["end_line"] > 0)
+        some = lambda x: F.exists(x, lambda s: tx.strip(s["t"]) != "")
+        return tx.once(spans.cast(kind), lambda x: F.when(some(x), x).when(usable, whole.cast(kind)).otherwise(F.array().cast(kind)))
+
+    # a document meets all its findings in one row, so that it is cut into lines once and not for every section
+    f = F.struct("finding_id", "code", "item", "section_spans", "start_line", "end_line")
+    per = findings.where("doc_id is not null").groupBy("doc_id").agg(F.collect_list(f).alias("fs")).join(docs.select("doc_id", "md"), "doc_id")
+    cut = tx.once(F.split("md", "\n"), lambda lines: F.transform("fs", lambda f: F.struct(f["finding_id"].alias("finding_id"), f["code"].alias("code"), f["item"].alias("item"), parts(f, lines).alias("parts"))))
+    base = per.select("doc_id", F.explode_outer(cut).alias("f"))  # outer: else the texts are made once more to filter by
+    rows = base.select("f.finding_id", "doc_id", "f.code", "f.item", F.posexplode("f.parts").alias("section_order", "s"))
     rows = with_chunks(rows.select("finding_id", "doc_id", "code", "item", "section_order", F.col("s.name").alias("name"), F.col("s.start_line").alias("a"), F.col("s.end_line").alias("b"), segments_of("s.t").alias("segments")), "segments")
     rows = rows.select("*", F.posexplode("chunks").alias("chunk_order", "text")).where(tx.strip("text") != "")
     section = F.col("name")

@@ -113,6 +113,26 @@ def test_lines_of_a_long_report_are_cut_once(spark):
     assert time.time() - began < 20
 
 
+def test_chunks_of_a_long_report_cut_it_once(spark):
+    docs, n = long_report(spark, 4_000), 4_000
+    spans = F.expr("array(named_struct('name', '조사착안', 'start_line', a + 3, 'end_line', a + 5), named_struct('name', '조사기법', 'start_line', a + 6, 'end_line', a + 8))")
+    f = spark.range(n).select(F.format_string("F%d", "id").alias("finding_id"), F.lit("D").alias("doc_id"), F.lit(None).cast("string").alias("code"), F.lit("항목").alias("item"), (F.col("id") * 9 + 5).cast("int").alias("a"))
+    f = f.select("*", spans.alias("section_spans"), F.col("a").alias("start_line"), (F.col("a") + 8).alias("end_line"))
+    began = time.time()
+    got = {(r.finding_id, r.section, r.start_line, r.end_line): r.text for r in chunk.chunk_findings(f, docs).collect()}
+    assert time.time() - began < 20
+    want = {(f"F{i}", s, 9 * i + 5 + x, 9 * i + 5 + x + 2): f"#### {k}. {s}\n{w} {i}" for i in range(n) for k, s, x, w in ((1, "조사착안", 3, "검토"), (2, "조사기법", 6, "확인"))}
+    assert got == want
+
+
+def test_findings_without_text_in_their_sections_are_chunked_whole(spark):
+    docs = spark.createDataFrame([("D", "a\n\nb"), ("E", None)], "doc_id string, md string")
+    kind = "finding_id string, doc_id string, code string, item string, section_spans array<struct<name:string,start_line:int,end_line:int>>, start_line int, end_line int"
+    rows = [("blank", "D", None, "x", [("s", 2, 2)], 1, 3), ("none", "D", None, "x", None, 3, 9), ("past", "D", None, "x", [("s", 8, 9)], None, None), ("swapped", "D", None, "x", [("s", 3, 1), ("t", 0, 1)], 1, 3), ("null", "E", None, "x", [("s", 1, 1)], 1, 1), ("nowhere", None, None, "x", [], 1, 1)]
+    got = sorted((r.finding_id, r.section, r.section_order, r.text) for r in chunk.chunk_findings(spark.createDataFrame(rows, kind), docs).collect())
+    assert got == [("blank", "전체", 0, "a\n\nb"), ("none", "전체", 0, "b"), ("swapped", "t", 1, "a")]
+
+
 @pytest.mark.parametrize(("counts", "want"), [([800, 100, 100], [(0, 1), (0, 2), (0, 3)]), ([300, 300, 300], [(0, 2), (1, 3)]), ([399, 800], [(0, 2)]), ([10, 10], [(0, 2)]), ([], [])])
 def test_overlap_groups(counts, want):
     assert chunk.overlap_groups(counts) == want
