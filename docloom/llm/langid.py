@@ -204,6 +204,10 @@ class Codes:
         return (m.shape[1] - alike.max()) // 2
 
 
+#: Characters whose n-grams are looked up at a time.
+BLOCK = 200_000
+
+
 class Model:
     """Fitted classifiers; picklable, of fixed size (n-gram hash times bits)."""
 
@@ -212,6 +216,8 @@ class Model:
 
     def margins(self, parts: list[str]) -> np.ndarray:
         """(parts, bits): mean vote of the n-grams of each part for each bit."""
+        if any(len(p) > BLOCK for p in parts):
+            return np.concatenate([self._long(p) if len(p) > BLOCK else self.margins([p]) for p in parts])
         grams, starts = features(parts)
         votes = self.weights[grams[:, 0]]
         for i in range(1, grams.shape[1]):
@@ -220,6 +226,17 @@ class Model:
         size = np.diff(np.append(starts, len(grams)))
         return sums / np.sqrt(np.maximum(size, 1))[:, None]
 
+    def _long(self, part: str) -> np.ndarray:
+        """The margins of a single part, its n-grams taken block by block."""
+        low = part.lower()
+        total = np.zeros((1, self.weights.shape[1]))
+        for lo in range(0, len(low), BLOCK):
+            at = max(lo - 1, 0)  # an n-gram begins one character before its place and ends two after
+            grams, _ = features([low[at : lo + BLOCK + 2]])
+            mine = grams[lo - at : lo - at + BLOCK]
+            total += sum(self.weights[mine[:, i]].sum(0, dtype=np.float64) for i in range(mine.shape[1]))
+        return total / np.sqrt(len(low))
+
     def decide(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Number of the best language of each part, and the confidence: the share it has against the second best."""
         if not parts:
@@ -423,12 +440,12 @@ def _label_batch(model: Model, texts: list[str | None], memo: dict[str, tuple[in
     cleaned = [clean(t) if t else "" for t in texts]
     cut = [segments(mask(t), cuts) if t else [] for t in cleaned]
     whole = [not s for s in cut]
-    cut = [[(0, len(t), mask(t)[:WINDOW])] if not s and _LETTER(t) else s for s, t in zip(cut, cleaned)]
+    cut = [[(0, len(t), _GAP.sub(" ", t).strip())] if not s and _LETTER(t) else s for s, t in zip(cut, cleaned)]
     new = [p for p in dict.fromkeys(p for s in cut for _, _, p in s) if p not in memo]
     lo = 0
     while lo < len(new):
         hi, total = lo, 0
-        while hi < len(new) and (hi == lo or total + len(new[hi]) < 200_000):
+        while hi < len(new) and (hi == lo or total + len(new[hi]) < BLOCK):
             total += len(new[hi])
             hi += 1
         best, conf = model.decide(new[lo:hi])
@@ -442,10 +459,15 @@ def _label_batch(model: Model, texts: list[str | None], memo: dict[str, tuple[in
         if located and got and (at := places(t, c)) is not None:
             got = [(int(at[a]), int(at[z]), lang, conf) for a, z, lang, conf in got]
         out.append((got, not w))
+    for p in new:
+        if len(p) > 2 * WINDOW:  # a whole text, which can be of any length: not kept
+            del memo[p]
     return out
 
 
 _LETTER = regex.compile(r"\p{L}").search
+#: What isn't a letter nor a mark on one; in a text of figures it would outvote the letters.
+_GAP = regex.compile(r"[^\p{L}\p{M}]+")
 
 
 def label_segments(documents: DataFrame, model: Model | None, key: str = "doc_id", text: str = "text", located: bool = True) -> DataFrame:

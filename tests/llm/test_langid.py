@@ -156,6 +156,28 @@ def test_every_text_has_a_language(spark, model):
     assert (got[2].lang, got[2].confidence, got[2].ambiguous) == ("und", 0.0, True) and got[7].sentence
 
 
+def test_all_letters_of_a_text_without_sentences_are_judged(spark, model):
+    """Neither figures nor a beginning in another language decide, however long they are."""
+    figures = "12,400 | 3.5 % | " * 60
+    short = {"de": "Das Konto der\n", "en": "The ledger of\n", "ko": "거래처 원장\n"}
+    texts = {1: (figures + short["de"], "de"), 2: (figures + short["ko"], "ko"), 3: (short["en"] * 20 + short["de"] * 200, "de"), 4: (short["de"] * 20 + short["en"] * 200, "en"), 5: (short["ko"] * 40 + short["en"] * 400, "en")}
+    df = spark.createDataFrame([(k, t) for k, (t, _) in texts.items()], "doc_id long, text string")
+    got = {r.doc_id: r for r in langid.label_segments(df, model).collect()}
+    assert {k: (r.lang, r.start, r.end, r.sentence) for k, r in got.items()} == {k: (lang, 0, len(t), False) for k, (t, lang) in texts.items()}
+
+
+def test_long_texts_are_judged_block_by_block(model, monkeypatch):
+    texts = ["Das Konto der " * 300 + "The ledger", "거래처 원장 " * 77, "a" * 1001]
+    want = [model.margins([t]) for t in texts]
+    memo = {}
+    for block in (1, 7, 100, 1000):
+        monkeypatch.setattr(langid, "BLOCK", block)
+        assert all(np.allclose(model.margins([t]), w, atol=1e-3) for t, w in zip(texts, want))
+        assert np.allclose(model.margins(texts), np.concatenate(want), atol=1e-3)
+        langid._label_batch(model, ["The ledger\n" * 300], memo, {})
+    assert max(map(len, memo), default=0) <= 2 * langid.WINDOW
+
+
 def test_segments_cut_the_text_itself(spark, model):
     """Places are those of the text as it is, however its characters are written."""
     parts = ["Ｔｈｅ ａｕｄｉｔｏｒｓ ｃｏｍｐａｒｅｄ ｔｈｅ ｌｅｄｇｅｒ ｗｉｔｈ ｔｈｅ ｓｔａｔｅｍｅｎｔ㎏.", "\u200b".join(TEXT["ko"][0]), unicodedata.normalize("NFD", TEXT["fr"][0]), TEXT["de"][0]]
